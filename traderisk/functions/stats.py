@@ -30,12 +30,23 @@ def value_histogram(df: DataFrame, cols: list[str], weight: str | None = None) -
 
 
 def exact_medians(df: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
-    """One-row DataFrame ``{c}_median`` for each column (NULL if all null)."""
+    """One-row DataFrame ``{c}_median`` for each column (NULL if all null).
+
+    Goes through ``value_histogram`` so that the final single-task step only
+    ever holds distinct values, never rows.
+    """
     hist = value_histogram(df, cols, weight)
     per_col = hist.groupBy("_name").agg(F.expr("percentile(_value, 0.5, _freq)").alias("_median"))
-    # Pivot the (≤ len(cols)) rows into one row; the value list is fixed so no extra job is run.
-    one = per_col.groupBy().pivot("_name", cols).agg(F.first("_median"))
-    return one.select(*[F.col(c).cast("double").alias(f"{c}_median") for c in cols])
+    # ≤ len(cols) rows folded into one row by a conditional max.
+    return per_col.agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).cast("double").alias(f"{c}_median")
+                         for c in cols])
+
+
+def weighted_medians(df: DataFrame, cols: list[str], weight: str) -> DataFrame:
+    """One-row exact medians over a table that is already a (value, weight)
+    histogram of bounded size — e.g. one row per (country, month) key."""
+    return df.agg(*[F.expr(f"percentile(`{c}`, 0.5, `{weight}`)").cast("double").alias(f"{c}_median")
+                    for c in cols])
 
 
 def exact_mean_scaled(c, digits: int) -> Column:

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traderisk.functions.scalar import strip_upper
-from traderisk.functions.stats import exact_medians
+from traderisk.functions.stats import weighted_medians
 from traderisk.operators.joins import join_dimension
 
 CRITICAL_COLUMNS = ["buyer_id", "buyer_country", "hs_code", "invoice_value_usd"]
 RISK_FILL_COLUMNS = ["political_stability_score", "currency_volatility_index"]
-# Upper bound on country_risk rows we are willing to broadcast: a panel of
-# (≈250 countries) × months stays far below this for a century of history.
-COUNTRY_RISK_BROADCAST_ROWS = 1_000_000
 
 
 def drop_incomplete(shipments: DataFrame) -> DataFrame:
@@ -53,6 +50,30 @@ def _join_cond(left: DataFrame, right: DataFrame):
     return (left["buyer_country"] == right["_cr_country"]) & (left["shipment_month"] == right["_cr_month"])
 
 
+def country_risk_medians(clean: DataFrame, country_risk: DataFrame) -> DataFrame:
+    """One-row medians of stability and volatility over the joined rows.
+
+    Shipments are counted per (country, month) — a map-side-combined aggregate
+    bounded by the panel size — and the risk rows matching each key are
+    weighted by that count; the weighted table is a histogram of the joined
+    values, so the exact median needs no second pass over the rows.
+    """
+    right = _risk_side(country_risk)
+    keys = clean.groupBy("buyer_country", "shipment_month").agg(F.count(F.lit(1)).alias("_w"))
+    weighted = keys.join(right, _join_cond(keys, right), "inner").select(*RISK_FILL_COLUMNS, "_w")
+    return weighted_medians(weighted, RISK_FILL_COLUMNS, "_w")
+
+
+def fill_country_risk(joined: DataFrame, medians: DataFrame) -> DataFrame:
+    """B4 + B5: medians into missing scores, 0 into a missing sanctions flag."""
+    # A global aggregate has exactly one row: a proven bound, so it is broadcast.
+    filled = joined.crossJoin(F.broadcast(medians))
+    for c in RISK_FILL_COLUMNS:
+        filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_median")))
+    filled = filled.withColumn("trade_sanctions_flag", F.coalesce(F.col("trade_sanctions_flag"), F.lit(0)).cast("int"))
+    return filled.drop(*[f"{c}_median" for c in RISK_FILL_COLUMNS])
+
+
 def join_country_risk(clean: DataFrame, country_risk: DataFrame, fill: bool = True) -> DataFrame:
     """C1 + B4 + B5: left join on (country, month), then fill the gaps.
 
@@ -63,16 +84,7 @@ def join_country_risk(clean: DataFrame, country_risk: DataFrame, fill: bool = Tr
     and those counts weight the risk values in an exact weighted median.
     """
     right = _risk_side(country_risk)
-    joined = join_dimension(clean, right, _join_cond(clean, right), "left",
-                            max_broadcast_rows=COUNTRY_RISK_BROADCAST_ROWS).drop("_cr_country", "_cr_month")
+    joined = join_dimension(clean, right, _join_cond(clean, right), "left").drop("_cr_country", "_cr_month")
     if not fill:
         return joined
-    keys = clean.groupBy("buyer_country", "shipment_month").agg(F.count(F.lit(1)).alias("_w"))
-    weighted = keys.join(right, _join_cond(keys, right), "inner").select(*RISK_FILL_COLUMNS, "_w")
-    medians = exact_medians(weighted, RISK_FILL_COLUMNS, weight="_w")
-    # A global aggregate has exactly one row: a proven bound, so it is broadcast.
-    filled = joined.crossJoin(F.broadcast(medians))
-    for c in RISK_FILL_COLUMNS:
-        filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_median")))
-    filled = filled.withColumn("trade_sanctions_flag", F.coalesce(F.col("trade_sanctions_flag"), F.lit(0)).cast("int"))
-    return filled.drop(*[f"{c}_median" for c in RISK_FILL_COLUMNS])
+    return fill_country_risk(joined, country_risk_medians(clean, country_risk))

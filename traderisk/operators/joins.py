@@ -15,10 +15,13 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
                    max_broadcast_rows: int | None = None) -> DataFrame:
     """Join a fact table to a dimension table.
 
-    The dimension is broadcast only after its size is checked against
-    ``max_broadcast_rows``; beyond that (or with no bound given) the join is left
-    to the planner — sort-merge, with AQE free to switch to a broadcast at run
-    time and to split skewed partitions.
+    By default no hint is given: the planner broadcasts the dimension only when
+    its estimated size (Parquet file sizes through the plan) is under
+    ``spark.sql.autoBroadcastJoinThreshold``, AQE re-checks with the measured
+    size at run time, and beyond either bound the join stays sort-merge with
+    skewed partitions split.  With ``max_broadcast_rows`` the dimension's row
+    count is checked explicitly (one small job) before a broadcast hint — for
+    sources without file statistics.
     """
     if max_broadcast_rows is not None and row_count_at_most(dim, max_broadcast_rows):
         dim = F.broadcast(dim)

@@ -39,13 +39,18 @@ def read_deals(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return _typed_read(spark, path, schemas.DEALS, fmt)
 
 
+# Row groups of this size let a reader split even a single large file across
+# tasks (AQE may coalesce a small table's last stage into one file).
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+
+
 def load_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> tuple[DataFrame, int]:
     """A4: truncate-and-load a typed table; return the read-back frame and its row count.
 
     The count comes from the written Parquet (footer metadata), not from a second
     evaluation of ``df``.
     """
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
