@@ -1,10 +1,10 @@
 """Distributed exact statistics.
 
-* ``exact_medians`` — interpolated medians (pandas / SQL ``median``) computed
-  from a value histogram: a distributed ``groupBy(value).count()`` with
-  map-side combine, then a weighted ``percentile`` over the histogram.  No task
-  ever sees more than the distinct values of one column, and a hot value is a
-  single histogram row however many rows carry it.
+* ``weighted_medians`` — interpolated medians over a table that already is a
+  bounded (value, weight) histogram, e.g. one row per (country, month).
+* ``exact_medians_selection`` — interpolated medians of continuous columns by
+  distributed selection (histogram rounds that narrow the search range); no
+  task or driver ever holds more than a bounded number of values.
 * ``exact_mean_scaled`` — the mean of fixed-precision doubles (scores rounded
   to n decimals) via integer sums, so the result does not depend on the order
   in which partitions are added.
@@ -16,30 +16,112 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def value_histogram(df: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
-    """Long histogram (column name, value, frequency) over several columns.
+def _interpolate(lower: float, upper: float, n: int) -> float:
+    """Interpolated median from the two middle values (Spark ``percentile`` form)."""
+    pos = (n - 1) * 0.5
+    lo_i, hi_i = int(pos // 1), int(-(-pos // 1))
+    if lo_i == hi_i:
+        return lower
+    return (hi_i - pos) * lower + (pos - lo_i) * upper
+
+
+def _bin(x, lo: float, hi: float, bins: int):
+    """Monotone bin index of x in [lo, hi] (clipped, so float edges stay ordered)."""
+    width = (hi - lo) / bins
+    return F.greatest(F.lit(0), F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)))
 
-    One shuffle for all columns: rows are unpivoted with ``stack`` and
-    pre-aggregated on the map side before the exchange.
-    """
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    w = F.col(weight) if weight else F.lit(1)
-    long_df = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (_name, _value)"), w.cast("long").alias("_w"))
-    return (long_df.where(F.col("_value").isNotNull())
-            .groupBy("_name", "_value").agg(F.sum("_w").alias("_freq")))
 
+def exact_medians_selection(df: DataFrame, cols: list[str], bins: int = 4096,
+                            max_candidates: int = 100_000, max_rounds: int = 16) -> dict[str, float | None]:
+    """Exact interpolated medians of continuous columns by distributed selection.
 
-def exact_medians(df: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
-    """One-row DataFrame ``{c}_median`` for each column (NULL if all null).
+    1. One aggregate: non-null count, min and max of every column.
+    2. While a column's search range still holds more than ``max_candidates``
+       rows and more than one value, one aggregate (all columns at once, map-side
+       combined) counts rows in ``bins`` equal-width bins of the range; the bins
+       holding the two middle ranks become the next range.
+    3. One aggregate of (value, count) inside each final range — at most
+       ``max_candidates`` values — pins the middle ranks exactly.
 
-    Goes through ``value_histogram`` so that the final single-task step only
-    ever holds distinct values, never rows.
+    Every pass is a distributed aggregate over column-pruned rows; the driver
+    receives at most ``bins`` counts or ``max_candidates`` values per column
+    per pass, whatever the table size, and a value shared by many rows is one
+    entry.  Returns plain floats (callers wrap them in a one-row frame).
     """
-    hist = value_histogram(df, cols, weight)
-    per_col = hist.groupBy("_name").agg(F.expr("percentile(_value, 0.5, _freq)").alias("_median"))
-    # ≤ len(cols) rows folded into one row by a conditional max.
-    return per_col.agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).cast("double").alias(f"{c}_median")
-                         for c in cols])
+    first = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
+                   *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    state = {}
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        if n == 0:
+            continue
+        # in-range predicate (a Column), rows below the range, target 0-based ranks
+        state[c] = {"n": n, "cond": F.lit(True), "lo": first[f"lo{i}"], "hi": first[f"hi{i}"],
+                    "below": 0, "in_range": n, "ranks": ((n - 1) // 2, n // 2)}
+    medians: dict[str, float | None] = {c: None for c in cols}
+
+    def narrowing():
+        return [c for c, st in state.items() if st["in_range"] > max_candidates and st["lo"] < st["hi"]]
+
+    rounds = 0
+    while narrowing() and rounds < max_rounds:
+        rounds += 1
+        active = narrowing()
+        sel = []
+        for c in active:
+            st = state[c]
+            x = F.col(c).cast("double")
+            keep = st["cond"] & x.isNotNull()
+            sel += [F.when(keep, _bin(x, st["lo"], st["hi"], bins)).alias(f"b_{c}"), F.when(keep, x).alias(f"v_{c}")]
+        triples = ", ".join(f"'{c}', `b_{c}`, `v_{c}`" for c in active)
+        long_df = df.select(*sel).select(F.expr(f"stack({len(active)}, {triples}) AS (_name, _bin, _value)")) \
+            .where("_bin IS NOT NULL")
+        cells_df = long_df.groupBy("_name", "_bin").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_min"), F.max("_value").alias("_max"))
+        by_col: dict[str, list] = {c: [] for c in active}
+        for r in cells_df.collect():  # ≤ bins rows per column
+            by_col[r["_name"]].append((int(r["_bin"]), int(r["_n"]), float(r["_min"]), float(r["_max"])))
+        for c in active:
+            st = state[c]
+            cells = sorted(by_col[c])
+            running, picked = st["below"], []
+            for b, n, _, _ in cells:
+                for k in st["ranks"]:
+                    if running <= k < running + n:
+                        picked.append(b)
+                running += n
+            b1, b2 = min(picked), max(picked)
+            kept = [cell for cell in cells if b1 <= cell[0] <= b2]
+            x = F.col(c).cast("double")
+            st["cond"] = st["cond"] & _bin(x, st["lo"], st["hi"], bins).between(b1, b2)
+            st["below"] += sum(cell[1] for cell in cells if cell[0] < b1)
+            st["in_range"] = sum(cell[1] for cell in kept)
+            # The next range is the actual min/max of the kept rows: each round
+            # separates at least the extreme values, so the search always ends.
+            st["lo"], st["hi"] = min(cell[2] for cell in kept), max(cell[3] for cell in kept)
+
+    live = list(state)
+    if live:
+        sel = [F.when(state[c]["cond"], F.col(c).cast("double")).alias(f"v_{c}") for c in live]
+        pairs = ", ".join(f"'{c}', `v_{c}`" for c in live)
+        vals = (df.select(*sel).select(F.expr(f"stack({len(live)}, {pairs}) AS (_name, _value)"))
+                .where("_value IS NOT NULL").groupBy("_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
+                .collect())
+        by_col = {c: [] for c in live}
+        for r in vals:
+            by_col[r["_name"]].append((float(r["_value"]), int(r["_n"])))
+        for c in live:
+            st = state[c]
+            running, found = st["below"], {}
+            for v, n in sorted(by_col[c]):
+                for k in st["ranks"]:
+                    if running <= k < running + n:
+                        found[k] = v
+                running += n
+            k1, k2 = st["ranks"]
+            medians[c] = _interpolate(found[k1], found[k2], st["n"])
+    return medians
 
 
 def weighted_medians(df: DataFrame, cols: list[str], weight: str) -> DataFrame:
