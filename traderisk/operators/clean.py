@@ -28,11 +28,16 @@ def drop_report(shipments: DataFrame) -> DataFrame:
         .withColumn("rows_kept", F.col("rows_in") - F.col("rows_dropped"))
 
 
+SHIPMENT_COLUMNS = ["shipment_id", "exporter_id", "buyer_id", "buyer_country", "hs_code", "product_category",
+                    "shipment_date", "invoice_value_usd", "payment_terms", "payment_delay_days", "was_disputed",
+                    "was_paid_in_full"]
+
+
 def clean_shipments(shipments: DataFrame) -> DataFrame:
     """B1 → B2 → B3: drop incomplete rows, strip+upper the country, add the month key."""
-    return (drop_incomplete(shipments)
-            .withColumn("buyer_country", strip_upper("buyer_country"))
-            .withColumn("shipment_month", F.trunc("shipment_date", "MM")))
+    return drop_incomplete(shipments).select(
+        *[strip_upper(c).alias(c) if c == "buyer_country" else F.col(c) for c in SHIPMENT_COLUMNS],
+        F.trunc("shipment_date", "MM").alias("shipment_month"))
 
 
 def clean_country_risk(country_risk: DataFrame) -> DataFrame:
@@ -67,11 +72,11 @@ def country_risk_medians(clean: DataFrame, country_risk: DataFrame) -> DataFrame
 def fill_country_risk(joined: DataFrame, medians: DataFrame) -> DataFrame:
     """B4 + B5: medians into missing scores, 0 into a missing sanctions flag."""
     # A global aggregate has exactly one row: a proven bound, so it is broadcast.
+    cols = list(joined.columns)
     filled = joined.crossJoin(F.broadcast(medians))
-    for c in RISK_FILL_COLUMNS:
-        filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_median")))
-    filled = filled.withColumn("trade_sanctions_flag", F.coalesce(F.col("trade_sanctions_flag"), F.lit(0)).cast("int"))
-    return filled.drop(*[f"{c}_median" for c in RISK_FILL_COLUMNS])
+    fills = {c: F.coalesce(F.col(c), F.col(f"{c}_median")) for c in RISK_FILL_COLUMNS}
+    fills["trade_sanctions_flag"] = F.coalesce(F.col("trade_sanctions_flag"), F.lit(0)).cast("int")
+    return filled.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in cols])
 
 
 def join_country_risk(clean: DataFrame, country_risk: DataFrame, fill: bool = True) -> DataFrame:

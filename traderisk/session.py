@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans are built from many Column calls; capturing the Python call site
+    # for every one of them (error context only) costs extra JVM round trips.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

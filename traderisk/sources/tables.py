@@ -23,15 +23,14 @@ _BUILDERS = {
     "deals": fixtures.build_deals,
 }
 
-# Each table is range-partitioned and sorted on these columns when ingested:
-# files and row groups then carry narrow min/max statistics, so equality
-# filters such as a buyer look-up skip most of them, and range sampling splits
-# a hot buyer over several files instead of one.  The explicit partition count
-# (the session's shuffle partitions) keeps files balanced.
-_CLUSTER = {
-    "shipments": ["buyer_id", "shipment_date"],
-    "country_risk": ["country", "month"],
-    "deals": ["deal_ts"],
+# Each table is hash-partitioned on its unique key (balanced files, no
+# sampling pass over the upstream joins, no hot file whatever the buyer mix)
+# and sorted inside each file on its access key, so row groups carry narrow
+# min/max statistics and equality filters such as a buyer look-up skip them.
+_LAYOUT = {
+    "shipments": (["shipment_id"], ["buyer_id", "shipment_date"]),
+    "country_risk": (["country", "month"], ["country", "month"]),
+    "deals": (["deal_id"], ["deal_ts"]),
 }
 
 _SCHEMAS = {"shipments": schemas.SHIPMENTS, "country_risk": schemas.COUNTRY_RISK, "deals": schemas.DEALS}
@@ -49,8 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = _MEMO.get(key)
     if path is None:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = (_BUILDERS[name](spark, sf_dir).repartitionByRange(n, *_CLUSTER[name])
-              .sortWithinPartitions(*_CLUSTER[name]))
+        keys, order = _LAYOUT[name]
+        df = _BUILDERS[name](spark, sf_dir).repartition(n, *keys).sortWithinPartitions(*order)
         path = S.unique_path(spark, f"table-{name}")
         load_table(df, path)
         _MEMO[key] = path
