@@ -38,3 +38,16 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+              "DateType()": "DATE", "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP",
+              "DecimalType(18,2)": "DECIMAL(18,2)"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_column_types_match_oracle(spark, con, name):
+    got = {f.name: TYPE_NAMES.get(repr(f.dataType), repr(f.dataType))
+           for f in QUERIES[name](spark, SF).schema.fields}
+    want = {r[0]: r[1] for r in con.sql(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert got == want

@@ -74,7 +74,7 @@ def country_trend_last12(country_risk: DataFrame, months: int = K.TREND_LAST_MON
     """
     trend = country_risk_trend(country_risk, ordered=False).withColumn("country", strip_upper("country"))
     w = Window.partitionBy("country").orderBy(F.col("month").desc())
-    ranked = trend.withColumn("months_back", F.row_number().over(w)).where(F.col("months_back") <= months)
+    ranked = trend.withColumn("months_back", F.row_number().over(w).cast("long")).where(F.col("months_back") <= months)
     return ranked.select("country", "month", "months_back", "political_stability_score",
                          stability_band("political_stability_score").alias("stability_band"),
                          "currency_volatility_index", "trade_sanctions_flag", "composite_risk_index")
@@ -116,7 +116,7 @@ def country_trend_lookup(country_risk: DataFrame, country: str | None = None,
     if country is not None:
         trend = trend.where(F.col("country") == strip_upper(F.lit(country)))
     w = Window.partitionBy("country").orderBy(F.col("month"))
-    return (trend.withColumn("month_index", F.row_number().over(w))
+    return (trend.withColumn("month_index", F.row_number().over(w).cast("long"))
                  .where(F.col("month_index") <= months))
 
 
