@@ -33,11 +33,6 @@ def clip01(c) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
-def flag_int(c) -> Column:
-    """Accept 0/1 ints or booleans; return INT 0/1 (null stays null)."""
-    return col(c).cast("int")
-
-
 def score_category(score) -> Column:
     s = col(score)
     return (F.when(s < K.LOW_BAND_UPPER, F.lit(K.CATEGORY_LOW))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from traderisk.operators import clean as C
 from traderisk.operators import features as FE
@@ -255,5 +254,3 @@ def all_oracles() -> dict[str, str]:
     from traderisk.plans import queries_scoring  # noqa: F401
     return dict(ORACLE)
 
-
-_ = F
