@@ -1,7 +1,6 @@
 """Views, history, look-ups."""
 
 from conftest import risk, ship
-from pyspark.sql import functions as F
 
 from traderisk.operators import dashboards as D
 from traderisk.operators import history as H
@@ -55,6 +54,15 @@ def test_buyer_risk_summary_two_countries_and_lookup(make_shipments):
     assert D.buyer_lookup(df, buyer_id="nobody").count() == 0
 
 
+def test_buyer_lookup_file_variant(make_shipments):
+    rows = [ship("a", buyer_id="b1", country="france", date="2024-01-01", category="Steel", delay=10),
+            ship("b", buyer_id="b1", country="INDIA", date="2024-02-01", category="Food", delay=20),
+            ship("c", buyer_id="b1", country="INDIA", date="2024-03-01", category="Food", delay=31)]
+    r = D.buyer_lookup(make_shipments(rows), variant="file").collect()[0]
+    assert (r.primary_country, r.primary_category, r.total_orders) == ("FRANCE", "Steel", 3)
+    assert r.avg_payment_delay_days == 20.3 and r.value_trend == "stable"
+
+
 def test_leaderboard_top_n_and_ties(make_shipments):
     rows = [ship(f"s{i}", buyer_id=f"b{i:02d}", delay=i * 5) for i in range(30)]
     lb = V.buyer_risk_leaderboard(V.buyer_risk_summary(make_shipments(rows)), n=5).collect()
@@ -123,4 +131,3 @@ def test_filter_reaches_scan(spark):
     t = tables(spark, "/root/testdata/sf0.001")
     plan = D.buyer_lookup(t.shipments, buyer_id="buyer_00000001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(buyer_id), EqualTo(buyer_id,buyer_00000001)]" in plan
-    _ = F

@@ -83,15 +83,37 @@ def country_trend_last12(country_risk: DataFrame, months: int = K.TREND_LAST_MON
 # ---------------------------------------------------------------------------
 # Look-ups (whole-table by default; an id narrows the scan)
 # ---------------------------------------------------------------------------
-def buyer_lookup(shipments: DataFrame, buyer_id: str | None = None, as_of=None) -> DataFrame:
+def buyer_lookup(shipments: DataFrame, buyer_id: str | None = None, as_of=None,
+                 variant: str = "warehouse") -> DataFrame:
     """S15 + B9 + E3: the buyer-history record for every buyer (or one).
 
-    Base figures come from the (buyer, country) view row with the most
-    shipments (ties: country ascending); primary category and value trend come
-    from the buyer history table (D2).
+    ``warehouse`` (default): base figures come from the (buyer, country) view
+    row with the most shipments (ties: country ascending).  ``file``: figures
+    are the buyer aggregates over the cleaned rows (D1) and country/category
+    those of the earliest shipment (E2).  Both take the value trend — and the
+    warehouse variant the primary category — from the buyer history (D2).
     """
     if buyer_id is not None:
         shipments = shipments.where(F.col("buyer_id") == F.lit(buyer_id))
+    if variant == "file":
+        from traderisk.operators.clean import clean_shipments
+        from traderisk.operators.history import buyer_first_shipment, buyer_profile
+        clean = clean_shipments(shipments)
+        prof = buyer_profile(clean).join(buyer_first_shipment(clean), "buyer_id")
+        trend = buyer_history(shipments).select("buyer_id", "value_trend")
+        return prof.join(trend, "buyer_id", "left").select(
+            "buyer_id",
+            F.col("buyer_total_orders").alias("total_orders"),
+            half_up("buyer_total_value", 2).alias("total_value_usd"),
+            half_up("buyer_avg_delay", 1).alias("avg_payment_delay_days"),
+            half_up("buyer_dispute_rate", 4).alias("dispute_rate"),
+            half_up("buyer_paid_in_full_rate", 4).alias("paid_in_full_rate"),
+            F.col("first_country").alias("primary_country"),
+            F.col("first_category").alias("primary_category"),
+            "value_trend",
+        )
+    if variant != "warehouse":
+        raise ValueError(f"unknown look-up variant {variant!r}")
     summary = buyer_risk_summary(shipments, as_of)
     w = Window.partitionBy("buyer_id").orderBy(F.col("total_shipments").desc(), F.col("buyer_country"))
     picked = summary.withColumn("_pick", F.row_number().over(w)).where(F.col("_pick") == 1)
