@@ -6,9 +6,9 @@
 3. Classes that share a band key meet at the smallest class of the bucket (a star,
    never all pairs), and the full sets confirm or refute each such link.
 4. Connected components (alternating stars) over the confirmed links.
-5. Buckets that still hold several components: classes of *different* components
-   are paired and confirmed too, so no link between different sets is lost to the
-   stars; components again over both kinds of link.
+5. Buckets that still hold several components: further stars, then pairs of classes of
+   *different* components, confirmed the same way, so no link between different sets is
+   lost to the stars; components again over all links.
 
 At a similarity of 0.8, five rows and forty bands miss a pair with probability
 (1 - 0.8**5)**40 = 1.3e-7; more similar pairs less.
@@ -21,6 +21,7 @@ smallest non-null doc_id of the class group, null if there is none.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ from traderisk.llm.components import components
 from traderisk.llm.textkernels import mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 5
-PAIRS_PER_SALT = 2000  # members confirmed against one copy of a leader's set
+PAIRS_PER_SALT = 200  # members confirmed against one copy of a leader's set
+FEW_CONFIRMED = 0.2  # stars go on while they confirm this share of their pairs; then pairs are tried one by one
 
 
 def hash_family(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +141,37 @@ def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent:
     return map_batches(dealt, run, "a long, b long")
 
 
+def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links: DataFrame, reps: DataFrame,
+                       k: int, percent: int) -> DataFrame:
+    """(node, label) over the first stars' links and all that buckets in several components still hold.
+
+    Further stars, each around another class of the bucket, join most of what lies apart at a
+    cost in proportion to the bucket.  Once a round of them confirms few of its pairs, the
+    classes left in different components are paired and confirmed one by one: that closes every
+    bucket, so the result does not depend on how many rounds of stars came before.
+    """
+    for turn in itertools.count():
+        comp = written(components(links), "components")
+        labelled = met.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        rest = written(labelled.join(several, "key", "left_semi"), "open-buckets")
+        if turn and share < FEW_CONFIRMED or rest.isEmpty():
+            break
+        order = F.xxhash64("cid", F.lit(turn))
+        centre = rest.groupBy("key").agg(F.min_by("cid", order).alias("leader"), F.min_by("label", order).alias("at"))
+        star = rest.join(centre, "key").where("label <> at").select(F.least("leader", "cid").alias("leader"), F.greatest("leader", "cid").alias("cid"))
+        star = written(star.distinct().join(tested, ["leader", "cid"], "left_anti"), "stars")
+        more = written(confirm(docs, star, reps, k, percent), "star-links")
+        share = more.count() / max(1, star.count())
+        tested, links = tested.unionByName(star), links.unionByName(more)
+    x, y = rest.alias("x"), rest.alias("y")
+    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")))
+              .select(F.col("x.cid").alias("leader"), F.col("y.cid").alias("cid")).distinct()
+              .join(tested, ["leader", "cid"], "left_anti"))
+    more = written(confirm(docs, written(across, "open-pairs"), reps, k, percent), "open-links")
+    return comp if more.isEmpty() else written(components(links.unionByName(more)), "components")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """uid, row_key, doc_id, n_shingles, component_id, keeper per document.
 
@@ -154,22 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets = reps.select("cid", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = written(buckets.join(shared, "key"), "buckets")
-    stars = met.where("cid <> leader").select("cid", "leader").distinct()
+    stars = met.where("cid <> leader").select("leader", "cid").distinct()
     links = written(confirm(docs, stars, reps, k, percent), "star-links")
-    comp = written(components(links), "components")
-
-    # Buckets that the stars left in several components: pair what lies apart.
-    label = F.coalesce("label", "cid").alias("label")
-    labelled = met.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", label)
-    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = written(labelled.join(apart, "key", "left_semi"), "open-buckets")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")))
-              .select(F.col("x.cid").alias("leader"), F.col("y.cid").alias("cid")).distinct()
-              .join(stars, ["leader", "cid"], "left_anti"))
-    more = written(confirm(docs, written(across, "open-pairs"), reps, k, percent), "open-links")
-    if not more.isEmpty():
-        comp = written(components(links.unionByName(more)), "components")
+    comp = _link_open_buckets(docs, met.select("key", "cid"), stars, links, reps, k, percent)
 
     of_class = (classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
                 .select("d1", "d2", "n", "least_id", F.coalesce("label", "cid").alias("component")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traderisk.llm import near_dedup
+from traderisk.llm import near_dedup, packing, token_counts, token_files
 from traderisk.llm.common import read
 
 
@@ -15,5 +15,25 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents with a perfect hash index, read back."""
+    return token_files.token_files(read(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), 2048)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by whole-token shortcut."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), limit=4096)
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_token_files": op4_token_files,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
+}
 ORACLES: dict[str, str] = {}
