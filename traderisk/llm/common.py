@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +53,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def with_columns(batch: pa.RecordBatch, **new) -> pa.RecordBatch:
-    """The batch and further columns."""
-    return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
-
-
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` over slices of a few hundred rows."""
     def run(batches):
         return fn(slices(batches))
     return df.mapInArrow(run, schema)
+
+
+def filter_rows(df: DataFrame, keep: Callable[[list[str]], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` (texts to booleans) wants; columns of any name and type stay."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(texts_of(batch, column)), pa.bool_()))
+    return map_batches(df, run, df.schema)
