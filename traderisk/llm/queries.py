@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traderisk.llm import language_id, near_dedup, packing, token_counts, token_files, toxicity
+from traderisk.llm import decontamination, language_id, near_dedup, packing, quality_rules, token_counts, token_files, toxicity
 from traderisk.llm.common import read
 
 
@@ -15,11 +15,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked into the documents."""
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents with a perfect hash index, read back."""
     return token_files.token_files(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: rules on each text, line frequency across a host's texts."""
+    return quality_rules.quality(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), 2048)
@@ -42,10 +52,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_token_files": op4_token_files,
+    "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}

@@ -177,7 +177,7 @@ def evidence(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(mean: np.ndarray, size: np.ndarray) -> np.ndarray:
     root = np.sqrt(np.maximum(size, 1))
-    return np.stack([np.ones(len(mean)), mean * 10, mean * root, 10 / root, np.log(root)], axis=1)
+    return np.stack([np.ones(len(mean)), mean * 10, mean * root], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
