@@ -93,11 +93,11 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, max_removed: int = MA
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT r, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d),
 g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 p AS (SELECT r, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) AS t(o) WHERE n >= 2 GROUP BY r),
-l AS (SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+l AS (SELECT r, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
 x AS (SELECT r, trim(regexp_replace(lower(unnest(ls)), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM l),
 y AS (SELECT d.r, d.source, d.text, x.line FROM x JOIN d USING (r) WHERE x.line <> ''),
 h AS (SELECT source, line FROM y GROUP BY source, line HAVING count(DISTINCT text) > 20),
