@@ -10,8 +10,8 @@ what is left is scored in full.  All (passage, part) pairs at or above the thres
 none is cut off.  A retrieved item counts if the document has at least ``OVERLAP`` of the
 three-word shingles of its question *and* of its answer.
 
-An item's answer is its last sentence (with one sentence, its second half), the question the
-rest.  Parts are indexed in blocks of at most about ``INDEX_PARTS``, so a broadcast index has a
+An item's answer is its last sentence (and those before it until it has a shingle's words; with
+one sentence, its second half), the question the rest.  Parts are indexed in blocks of at most about ``INDEX_PARTS``, so a broadcast index has a
 bounded size whatever the benchmark's; each block is one more scan of the documents.
 
 Rows: null or empty texts and items match nothing; repeated documents are each found; repeated
@@ -44,9 +44,12 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 
 
 def question_answer(text: str) -> tuple[str, str]:
+    """The answer is the last sentence, with those before it until it has a whole shingle."""
     parts = [p for p in _SENTENCE.split(text) if p.strip()]
-    if len(parts) > 1:
-        return " ".join(parts[:-1]), parts[-1]
+    for at in range(len(parts) - 1, 0, -1):
+        answer = " ".join(parts[at:])
+        if len(answer.split()) >= SHINGLE:
+            return " ".join(parts[:at]), answer
     words = text.split()
     return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2:])
 
@@ -77,7 +80,7 @@ class Index:
         self.checks = []
         for q, a in halves:
             w, at = _words([q, a])
-            self.checks.append((shingles(w[: at[1]], SHINGLE), shingles(w[at[1]:], SHINGLE)))
+            self.checks.append([(min(SHINGLE, len(x)), shingles(x, SHINGLE)) for x in (w[: at[1]], w[at[1]:])])
         postings = []
         for p, r in enumerate(rows):
             terms, tf = np.unique(np.array(r["words"], np.int64), return_counts=True)
@@ -141,9 +144,12 @@ class Index:
             return []
         found, sets = {}, {}
         for d, p, score in self._candidates(words, at):
-            if d not in sets:
-                sets = {d: shingles(words[at[d]: at[d + 1]], SHINGLE)}
-            q, a = (float(np.isin(s, sets[d]).mean()) if len(s) else 1.0 for s in self.checks[p])
+            overlaps = []
+            for k, s in self.checks[p]:  # a half of fewer words than a shingle is looked up as a run of its own length
+                if (d, k) not in sets:
+                    sets = {**{x: y for x, y in sets.items() if x[0] == d}, (d, k): shingles(words[at[d]: at[d + 1]], k)}
+                overlaps.append(float(np.isin(s, sets[d, k]).mean()) if len(s) else 1.0)
+            q, a = overlaps
             if q >= OVERLAP and a >= OVERLAP:
                 key = (d, self.items[p])
                 found[key] = max(found.get(key, (0.0, q, a)), (score, q, a))

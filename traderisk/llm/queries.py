@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traderisk.llm import decontamination, language_id, near_dedup, packing, quality_rules, token_counts, token_files, toxicity
+from traderisk.llm import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, token_counts, token_files, toxicity, url_filter
 from traderisk.llm.common import read
 
 
@@ -20,11 +20,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and model verdicts on the urls of all pages."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents with a perfect hash index, read back."""
     return token_files.token_files(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 whose texts are control strings, formatted and read back."""
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.formatted_digests(rows)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents: rules on each text, line frequency across a host's texts."""
     return quality_rules.quality(read(spark, sf_dir, "documents"))
@@ -53,7 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
