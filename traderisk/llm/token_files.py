@@ -189,7 +189,8 @@ def digests(manifest: DataFrame, folder: str, end_id: int = END_ID) -> DataFrame
                     start += len(ids)
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return map_batches(manifest.repartition("shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # One task per shard: the manifest is tiny, so tasks chosen by its size would read many shards each.
+    return map_batches(manifest.repartition(max(1, manifest.count()), "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame) -> DataFrame:
