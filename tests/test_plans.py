@@ -6,7 +6,6 @@ from conftest import SF_SMALL, risk, ship
 
 from traderisk.operators import clean as C
 from traderisk.operators import features as FE
-from traderisk.operators.joins import join_dimension
 from traderisk.sources.tables import tables
 
 
@@ -33,15 +32,6 @@ def test_fill_medians_come_from_a_bounded_weight_table(spark):
     assert "percentile" in plan and "partial_count" in plan
 
 
-def test_join_dimension_explicit_row_check(spark, make_shipments, make_risk):
-    facts = make_shipments([ship("a"), ship("b")]).withColumnRenamed("buyer_country", "k")
-    dim = make_risk([risk("INDIA", "2024-01-01", 0.5, 0.5)]).withColumnRenamed("country", "k")
-    small = _plan(join_dimension(facts, dim, "k", "left", max_broadcast_rows=10))
-    assert "BroadcastHashJoin" in small
-    joined = join_dimension(facts, dim, "k", "left", max_broadcast_rows=0)  # check fails: no hint
-    assert joined.count() == 2
-
-
 def test_top_countries_side_is_a_ten_row_list(spark):
     from traderisk.operators import dashboards as D
     t = tables(spark, SF_SMALL)

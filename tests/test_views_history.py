@@ -131,3 +131,18 @@ def test_filter_reaches_scan(spark):
     t = tables(spark, "/root/testdata/sf0.001")
     plan = D.buyer_lookup(t.shipments, buyer_id="buyer_00000001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(buyer_id), EqualTo(buyer_id,buyer_00000001)]" in plan
+
+
+def test_lookup_of_one_buyer_compares_with_all_shipments(make_shipments):
+    from traderisk.operators.dashboards import buyer_lookup
+    df = make_shipments([ship("a", buyer_id="big", invoice=1000.0), ship("b", buyer_id="big", invoice=900.0),
+                         ship("c", buyer_id="small", invoice=10.0)])
+    for variant in ("warehouse", "file"):
+        trend = {b: buyer_lookup(df, b, variant=variant).first()["value_trend"] for b in ("big", "small")}
+        assert trend == {"big": "growing", "small": "declining"}
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    from traderisk.functions.scalar import half_up
+    rows = spark.createDataFrame([(-2.5,), (2.5,), (-0.4,)], "x double").select(half_up("x", 0).alias("r")).collect()
+    assert [r["r"] for r in rows] == [-3.0, 3.0, 0.0]

@@ -13,13 +13,15 @@ def col(c) -> Column:
 
 
 def half_up(c, digits: int) -> Column:
-    """Round half away from zero for the non-negative values used here.
+    """Round half away from zero.
 
     ``floor(x * 10^n + 0.5) / 10^n`` in DOUBLE gives the same bits in every
     engine, unlike ``round`` (decimal-text rounding in Spark, binary in others).
     """
     scale = float(10 ** digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    x = col(c)
+    size = F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(x < 0, -size).otherwise(size)
 
 
 def strip_upper(c) -> Column:

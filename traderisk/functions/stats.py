@@ -32,7 +32,7 @@ def _bin(x, lo: float, hi: float, bins: int):
 
 
 def exact_medians_selection(df: DataFrame, cols: list[str], bins: int = 4096,
-                            max_candidates: int = 100_000, max_rounds: int = 16) -> dict[str, float | None]:
+                            max_candidates: int = 100_000) -> dict[str, float | None]:
     """Exact interpolated medians of continuous columns by distributed selection.
 
     1. One aggregate: non-null count, min and max of every column.
@@ -40,6 +40,8 @@ def exact_medians_selection(df: DataFrame, cols: list[str], bins: int = 4096,
        rows and more than one value, one aggregate (all columns at once, map-side
        combined) counts rows in ``bins`` equal-width bins of the range; the bins
        holding the two middle ranks become the next range.
+       A round that a few far-out values stretch takes these values off, so rounds
+       go on until the range is small enough; there is no round limit.
     3. One aggregate of (value, count) inside each final range — at most
        ``max_candidates`` values — pins the middle ranks exactly.
 
@@ -64,9 +66,7 @@ def exact_medians_selection(df: DataFrame, cols: list[str], bins: int = 4096,
     def narrowing():
         return [c for c, st in state.items() if st["in_range"] > max_candidates and st["lo"] < st["hi"]]
 
-    rounds = 0
-    while narrowing() and rounds < max_rounds:
-        rounds += 1
+    while narrowing():
         active = narrowing()
         sel = []
         for c in active:

@@ -94,7 +94,9 @@ def buyer_lookup(shipments: DataFrame, buyer_id: str | None = None, as_of=None,
     warehouse variant the primary category — from the buyer history (D2).
     """
     if buyer_id is not None:
-        shipments = shipments.where(F.col("buyer_id") == F.lit(buyer_id))
+        # On the finished record: the trend compares with the mean of all shipments.  The
+        # optimizer takes the filter down to every scan but that mean's.
+        return buyer_lookup(shipments, None, as_of, variant).where(F.col("buyer_id") == F.lit(buyer_id))
     if variant == "file":
         from traderisk.operators.clean import clean_shipments
         from traderisk.operators.history import buyer_first_shipment, buyer_profile

@@ -20,7 +20,7 @@ def buyer_history(shipments: DataFrame) -> DataFrame:
     nulls are ignored, an all-null group gives NULL.  The value trend compares
     the buyer's mean invoice with the row-level mean of all shipments; that
     overall mean is re-derived from the per-buyer sums (including the NULL-buyer
-    group), so the shipments are aggregated once.
+    group).
     """
     inv = F.col("invoice_value_usd")
     per_buyer = shipments.groupBy("buyer_id").agg(
@@ -60,7 +60,7 @@ def buyer_profile(clean: DataFrame) -> DataFrame:
 
 def buyer_first_shipment(clean: DataFrame) -> DataFrame:
     """Country and category of each buyer's earliest shipment (null dates
-    last, ties by shipment_id) — ``min_by`` aggregates, no sort of the rows."""
+    last, ties by shipment_id) by ``min_by``."""
     order_key = F.struct(F.coalesce(F.col("shipment_date"), F.lit("9999-12-31").cast("date")),
                          F.col("shipment_date").isNull(), F.col("shipment_id"))
     first = F.min_by(F.struct("buyer_country", "product_category"), order_key)
@@ -88,12 +88,11 @@ def dataset_profile(shipments: DataFrame, country_risk: DataFrame) -> DataFrame:
         cond = F.col(c).isNull()
         incomplete = cond if incomplete is None else (incomplete | cond)
     positive = F.coalesce(default_risk_score() > F.lit(K.LABEL_THRESHOLD), F.lit(False))
+    def distinct(column: str, name: str) -> DataFrame:
+        return shipments.agg(F.count_distinct(column).alias(name))
+    # One aggregate per distinct column: several in one would copy every row for each.
     ship = shipments.agg(
         F.count(F.lit(1)).alias("n_shipments"),
-        F.count_distinct("shipment_id").alias("n_shipment_ids"),
-        F.count_distinct("buyer_id").alias("n_buyers"),
-        F.count_distinct("exporter_id").alias("n_exporters"),
-        F.count_distinct("buyer_country").alias("n_buyer_countries"),
         F.min("shipment_date").alias("first_shipment_date"),
         F.max("shipment_date").alias("last_shipment_date"),
         F.count_if(incomplete).alias("n_incomplete"),
@@ -106,4 +105,7 @@ def dataset_profile(shipments: DataFrame, country_risk: DataFrame) -> DataFrame:
         F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
     )
-    return ship.crossJoin(risk)  # both sides are global aggregates: one row each
+    for column, name in (("shipment_id", "n_shipment_ids"), ("buyer_id", "n_buyers"), ("exporter_id", "n_exporters"),
+                         ("buyer_country", "n_buyer_countries")):
+        ship = ship.crossJoin(distinct(column, name))
+    return ship.crossJoin(risk)  # all sides are global aggregates: one row each

@@ -1,28 +1,17 @@
-"""Join helpers with an explicit size check before any broadcast."""
+"""The join of a fact table to a dimension table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads at most max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_broadcast_rows: int | None = None) -> DataFrame:
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a fact table to a dimension table.
 
     By default no hint is given: the planner broadcasts the dimension only when
     its estimated size (Parquet file sizes through the plan) is under
     ``spark.sql.autoBroadcastJoinThreshold``, AQE re-checks with the measured
     size at run time, and beyond either bound the join stays sort-merge with
-    skewed partitions split.  With ``max_broadcast_rows`` the dimension's row
-    count is checked explicitly (one small job) before a broadcast hint — for
-    sources without file statistics.
+    skewed partitions split.
     """
-    if max_broadcast_rows is not None and row_count_at_most(dim, max_broadcast_rows):
-        dim = F.broadcast(dim)
     return fact.join(dim, on, how)

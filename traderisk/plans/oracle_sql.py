@@ -66,7 +66,6 @@ country_risk AS (
   FROM lineitem l
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey
-  WHERE s.s_nationkey % 8 <> 7
   GROUP BY n.n_name, n.n_nationkey, CAST(date_trunc('month', CAST(l.l_shipdate AS DATE)) AS DATE)
 ),
 deals AS (

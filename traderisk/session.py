@@ -56,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: a local run or a test.  A cluster always names a shared folder.
+        # Unset is for local runs and tests; elsewhere a folder of this machine would be no shared one.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="traderisk-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

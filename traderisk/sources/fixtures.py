@@ -76,8 +76,7 @@ def build_country_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_discount")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    sup = (supplier.where(F.col("s_nationkey") % 8 != 7)
-           .join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey))
+    sup = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey)
     rows = li.join(sup, li.l_suppkey == sup.s_suppkey)
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month")
     agg = rows.groupBy("n_name", "n_nationkey", month).agg(

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traderisk import schemas
 
 
+FLAG_COLUMNS = ("was_disputed", "was_paid_in_full", "trade_sanctions_flag")
+
+
+def _flag(name: str):
+    word = F.lower(F.trim(F.col(name)))
+    return (F.when(word.isNull(), F.lit(None).cast("int")).when(word.isin("1", "true"), 1).when(word.isin("0", "false"), 0)
+            .otherwise(F.raise_error(F.concat(F.lit(f"{name} is no flag: "), F.col(name))).cast("int")))
+
+
 def _typed_read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -15,8 +25,12 @@ def _typed_read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
         # BOOLEAN flags, FLOAT64 invoices or extra columns are normalised.
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if fmt == "csv":
-        return (spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd")
-                .option("mode", "FAILFAST").csv(path))
+        # Flags may be written as 0/1 or true/false: read as text, then mapped; other text fails.
+        flags = [f.name for f in schema.fields if f.name in FLAG_COLUMNS]
+        text = T.StructType([T.StructField(f.name, T.StringType() if f.name in flags else f.dataType) for f in schema.fields])
+        df = (spark.read.schema(text).option("header", True).option("dateFormat", "yyyy-MM-dd")
+              .option("mode", "FAILFAST").csv(path))
+        return df.select(*[_flag(f.name).cast(f.dataType).alias(f.name) if f.name in flags else F.col(f.name) for f in schema.fields])
     raise ValueError(f"unsupported format {fmt!r}")
 
 
@@ -39,20 +53,17 @@ def read_deals(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return _typed_read(spark, path, schemas.DEALS, fmt)
 
 
-# Row groups of this size let a reader split even a single large file across
-# tasks (AQE may coalesce a small table's last stage into one file).
-ROW_GROUP_BYTES = 8 * 1024 * 1024
+# The usual row-group size: large enough for few footer entries at scale.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
-def load_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> tuple[DataFrame, int]:
+def load_table(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """A4: truncate-and-load a typed table; return the read-back frame and its row count.
 
     The count comes from the written Parquet (footer metadata), not from a second
     evaluation of ``df``.
     """
     writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back, back.count()

@@ -35,21 +35,33 @@ _LAYOUT = {
 
 _SCHEMAS = {"shipments": schemas.SHIPMENTS, "country_risk": schemas.COUNTRY_RISK, "deals": schemas.DEALS}
 
-_MEMO: dict[tuple[str, str, str], str] = {}
+_MEMO: dict[tuple, str] = {}
+_SOURCES = ("customer", "lineitem", "nation", "orders", "part", "supplier")
 
 
 def _app_id(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Newest change and size of every source table: replaced files are ingested again."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for name in _SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            files = fs.listStatus(path)
+            out.append((name, len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
+    return tuple(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return the domain table ``name`` for ``sf_dir`` (ingested on first use)."""
-    key = (_app_id(spark), sf_dir.rstrip("/"), name)
+    key = (_app_id(spark), sf_dir.rstrip("/"), name, _state(spark, sf_dir))
     path = _MEMO.get(key)
     if path is None:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         keys, order = _LAYOUT[name]
-        df = _BUILDERS[name](spark, sf_dir).repartition(n, *keys).sortWithinPartitions(*order)
+        df = _BUILDERS[name](spark, sf_dir).repartition(*keys).sortWithinPartitions(*order)
         path = S.unique_path(spark, f"table-{name}")
         load_table(df, path)
         _MEMO[key] = path

@@ -22,6 +22,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def score_deals_stream(deals_stream: DataFrame, buyer_profile: DataFrame, country_profile: DataFrame,
                        **score_kwargs) -> DataFrame:
     """Streaming DataFrame of scored deals (reasons flattened to one string)."""
@@ -35,10 +40,12 @@ def run_available_now(spark: SparkSession, scored_stream: DataFrame, name: str =
     and return the written table as a batch DataFrame."""
     out = output_path or S.unique_path(spark, name)
     ckpt = checkpoint_path or S.unique_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], scored_stream.schema).write.mode("append").parquet(out)  # the folder exists even without input
     q = (scored_stream.writeStream.format("parquet").outputMode("append")
          .option("path", out).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    # The declared schema: input without rows gives an empty table.
+    return spark.read.schema(scored_stream.schema).parquet(out)
