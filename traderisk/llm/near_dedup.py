@@ -7,7 +7,7 @@
    never all pairs), and the full sets confirm or refute each such link.
 4. Connected components (alternating stars) over the confirmed links.
 5. Buckets that still hold several components: further stars, then pairs of classes of
-   *different* components, confirmed the same way, so no link between different sets is
+   *different* components that share a rare element, confirmed the same way, so no link between different sets is
    lost to the stars; components again over all links.
 
 At a similarity of 0.8, five rows and forty bands miss a pair with probability
@@ -22,7 +22,7 @@ smallest non-null doc_id of the class group, null if there is none.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,8 @@ from traderisk.llm.textkernels import mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 5
 PAIRS_PER_SALT = 200  # members confirmed against one copy of a leader's set
-FEW_CONFIRMED = 0.2  # stars go on while they confirm this share of their pairs; then pairs are tried one by one
+FEW_CONFIRMED = 0.02  # stars go on while they confirm this share of their pairs; then pairs are tried one by one
+FREQUENCY_BITS = 21
 
 
 def hash_family(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def row_key(docs: DataFrame):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The full set of each wanted class (cid, row_key, d1), once per (leader, salt) it is wanted for."""
+    """The full set of each wanted row (cid, leader, salt, row_key, d1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = word_hashes(texts_of(batch))
@@ -112,16 +113,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_batches(keyed.join(wanted, "row_key"), run, "cid long, leader long, salt int, set binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Of the pairs (leader, cid), those with 100 * intersection >= percent * union on the full sets.
 
-    A leader with many members is copied to one salt per PAIRS_PER_SALT of them, so no task
-    gets all members of a large group; each set travels once per leader.
+    ``sets_of`` adds the sets to rows (cid, leader, salt).  A leader with many members is copied to
+    one salt per PAIRS_PER_SALT of them, so no task gets all members of a large group; each set
+    travels once per leader.
     """
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "leader").select("cid", "leader", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"))
     leaders = salts.select(F.col("leader").alias("cid"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    wanted = members.unionByName(leaders).join(reps.select("cid", "row_key", "d1"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, mine = None, None
@@ -136,20 +137,59 @@ def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent:
                     if 100 * both >= percent * (len(mine) + len(s) - both):
                         found.append((cid, leader))
             yield pa.RecordBatch.from_pylist([{"a": c, "b": l} for c, l in found], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    dealt = _sets(docs, wanted, k).dropDuplicates(["leader", "salt", "cid"])
+    dealt = sets_of(members.unionByName(leaders)).select("cid", "leader", "salt", "set").dropDuplicates(["leader", "salt", "cid"])
     dealt = dealt.repartition("leader", "salt").sortWithinPartitions("leader", "salt", (F.col("cid") != F.col("leader")))
     return map_batches(dealt, run, "a long, b long")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, token): so many of each set's rarest elements that two sets of the similarity share one.
+
+    Two sets of Jaccard similarity t share at least t * n elements of either, so under any common
+    order their first n - ceil(t * n) + 1 elements meet.  The order here is by a hashed frequency
+    table of fixed size, rare first: what many sets share comes last and pairs nothing.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        for batch in batches:
+            for s in batch.column("set").to_pylist():
+                np.add.at(n, _frequency_cell(np.frombuffer(s, np.uint64)), 1)
+        cells = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells])], names=["cell", "n"])
+    table = map_batches(sets.select("set"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**FREQUENCY_BITS rows
+    often = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    often[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, tokens = [], []
+            for cid, s in zip(batch.column("cid").to_pylist(), batch.column("set").to_pylist()):
+                s = np.frombuffer(s, np.uint64)
+                size = len(s) - -(-percent * len(s) // 100) + 1
+                first = s[np.lexsort((s, sent.value[_frequency_cell(s)]))[:size]]
+                cids.append(np.full(len(first), cid, np.int64))
+                tokens.append(first.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids or [np.zeros(0, np.int64)])),
+                                              pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)]))], names=["cid", "token"])
+    return map_batches(sets.select("cid", "set"), run, "cid long, token long")
+
+
+def _frequency_cell(s: np.ndarray) -> np.ndarray:
+    return (mix(s) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
 def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links: DataFrame, reps: DataFrame,
                        k: int, percent: int) -> DataFrame:
     """(node, label) over the first stars' links and all that buckets in several components still hold.
 
     Further stars, each around another class of the bucket, join most of what lies apart at a
-    cost in proportion to the bucket.  Once a round of them confirms few of its pairs, the
-    classes left in different components are paired and confirmed one by one: that closes every
-    bucket, so the result does not depend on how many rounds of stars came before.
+    cost in proportion to the bucket.  Once a round of them confirms few of its pairs, classes of
+    different components are paired where their sets share one of their rarest elements (which
+    sets of the wanted similarity must) and confirmed: that is exact for all classes in open
+    buckets, so the result does not depend on how many rounds of stars came before.
     """
+    sets = None
     for turn in itertools.count():
         comp = written(components(links), "components")
         labelled = met.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
@@ -157,18 +197,25 @@ def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links
         rest = written(labelled.join(several, "key", "left_semi"), "open-buckets")
         if turn and share < FEW_CONFIRMED or rest.isEmpty():
             break
+        if sets is None:  # the later rounds' classes are among the first round's
+            alone = rest.select("cid").distinct().withColumn("leader", F.col("cid")).withColumn("salt", F.lit(0))
+            sets = written(_sets(docs, alone.join(reps.select("cid", "row_key", "d1"), "cid"), k).select("cid", "set").dropDuplicates(["cid"]), "open-sets")
         order = F.xxhash64("cid", F.lit(turn))
         centre = rest.groupBy("key").agg(F.min_by("cid", order).alias("leader"), F.min_by("label", order).alias("at"))
         star = rest.join(centre, "key").where("label <> at").select(F.least("leader", "cid").alias("leader"), F.greatest("leader", "cid").alias("cid"))
         star = written(star.distinct().join(tested, ["leader", "cid"], "left_anti"), "stars")
-        more = written(confirm(docs, star, reps, k, percent), "star-links")
+        more = written(confirm(star, lambda wanted: wanted.join(sets, "cid"), percent), "star-links")
         share = more.count() / max(1, star.count())
         tested, links = tested.unionByName(star), links.unionByName(more)
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")))
+    if sets is None:
+        return comp
+    still = rest.select("cid", "label").distinct()
+    prefixes = written(_prefixes(sets.join(still.select("cid"), "cid", "left_semi"), percent).join(still, "cid"), "open-prefixes")
+    x, y = prefixes.alias("x"), prefixes.alias("y")
+    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")))
               .select(F.col("x.cid").alias("leader"), F.col("y.cid").alias("cid")).distinct()
               .join(tested, ["leader", "cid"], "left_anti"))
-    more = written(confirm(docs, written(across, "open-pairs"), reps, k, percent), "open-links")
+    more = written(confirm(written(across, "open-pairs"), lambda wanted: wanted.join(sets, "cid"), percent), "open-links")
     return comp if more.isEmpty() else written(components(links.unionByName(more)), "components")
 
 
@@ -188,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shared = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = written(buckets.join(shared, "key"), "buckets")
     stars = met.where("cid <> leader").select("leader", "cid").distinct()
-    links = written(confirm(docs, stars, reps, k, percent), "star-links")
+    links = written(confirm(stars, lambda wanted: _sets(docs, wanted.join(reps.select("cid", "row_key", "d1"), "cid"), k), percent), "star-links")
     comp = _link_open_buckets(docs, met.select("key", "cid"), stars, links, reps, k, percent)
 
     of_class = (classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
