@@ -143,11 +143,13 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, token): so many of each set's rarest elements that two sets of the similarity share one.
+    """(cid, token, n, left): so many of each set's rarest elements that two sets of the similarity share one.
 
     Two sets of Jaccard similarity t share at least t * n elements of either, so under any common
     order their first n - ceil(t * n) + 1 elements meet.  The order here is by a hashed frequency
-    table of fixed size, rare first: what many sets share comes last and pairs nothing.
+    table of fixed size, rare first: what many sets share comes last and pairs nothing.  ``left``
+    is the number of the set's elements from the token on, itself included: no two sets share
+    more than that if the token is the first that they share.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << FREQUENCY_BITS, np.int64)
@@ -163,16 +165,18 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, tokens = [], []
+            cids, tokens, ns, lefts = [], [], [], []
             for cid, s in zip(batch.column("cid").to_pylist(), batch.column("set").to_pylist()):
                 s = np.frombuffer(s, np.uint64)
                 size = len(s) - -(-percent * len(s) // 100) + 1
                 first = s[np.lexsort((s, sent.value[_frequency_cell(s)]))[:size]]
                 cids.append(np.full(len(first), cid, np.int64))
                 tokens.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids or [np.zeros(0, np.int64)])),
-                                              pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)]))], names=["cid", "token"])
-    return map_batches(sets.select("cid", "set"), run, "cid long, token long")
+                ns.append(np.full(len(first), len(s), np.int64))
+                lefts.append(len(s) - np.arange(len(first), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)])) for c in (cids, tokens, ns, lefts)],
+                                             names=["cid", "token", "n", "left"])
+    return map_batches(sets.select("cid", "set"), run, "cid long, token long, n long, left long")
 
 
 def _frequency_cell(s: np.ndarray) -> np.ndarray:
@@ -212,7 +216,9 @@ def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links
     still = rest.select("cid", "label").distinct()
     prefixes = written(_prefixes(sets.join(still.select("cid"), "cid", "left_semi"), percent).join(still, "cid"), "open-prefixes")
     x, y = prefixes.alias("x"), prefixes.alias("y")
-    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")))
+    # At the first shared element at most the smaller ``left`` is shared; the similarity asks for this much.
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & enough)
               .select(F.col("x.cid").alias("leader"), F.col("y.cid").alias("cid")).distinct()
               .join(tested, ["leader", "cid"], "left_anti"))
     more = written(confirm(written(across, "open-pairs"), lambda wanted: wanted.join(sets, "cid"), percent), "open-links")
