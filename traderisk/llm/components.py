@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star.
 
 Links stay in tables; each round is two joins with map-side minima, written to
-the shared folder.  Only one row (link count and checksum) reaches the driver.
+the shared folder.  Only whether a round is left to do reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,27 +29,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one other node that itself hangs on none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("under")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("under")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("under").alias("under")).where("up > 1 or up = 1 and under = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each linked node reaches; links are (a, b) of longs.
 
     Null ends and loops link nothing.  An empty link table gives an empty result.  Rounds go on
-    until a round changes nothing, whatever their number (about log² of the longest chain).
+    until only stars are left, whatever their number (about log² of the longest chain); every
+    link points to the smaller node, so a star's centre is its smallest.  Earlier components
+    given as links (node, label) beside new links spare the rounds that made them.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = _state(now)
-    while True:
-        after_large = written(_star(now, True), "large-star")
-        after = written(_star(after_large, False), "small-star")
-        drop(after_large)
-        drop(now)
-        now, before = after, state
-        state = _state(now)
-        if state == before:
-            break
+    while not _settled(now):
+        before, now = now, written(_star(_star(now, True), False), "stars-round")
+        drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

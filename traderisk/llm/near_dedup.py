@@ -183,6 +183,11 @@ def _frequency_cell(s: np.ndarray) -> np.ndarray:
     return (mix(s) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
+def _with(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of the components found so far (each node to its label) and further ones."""
+    return comp.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)
+
+
 def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links: DataFrame, reps: DataFrame,
                        k: int, percent: int) -> DataFrame:
     """(node, label) over the first stars' links and all that buckets in several components still hold.
@@ -193,9 +198,9 @@ def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links
     sets of the wanted similarity must) and confirmed: that is exact for all classes in open
     buckets, so the result does not depend on how many rounds of stars came before.
     """
-    sets = None
+    sets = comp = None
     for turn in itertools.count():
-        comp = written(components(links), "components")
+        comp = written(components(links if comp is None else _with(comp, more)), "components")
         labelled = met.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
         several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         rest = written(labelled.join(several, "key", "left_semi"), "open-buckets")
@@ -210,7 +215,7 @@ def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links
         star = written(star.distinct().join(tested, ["leader", "cid"], "left_anti"), "stars")
         more = written(confirm(star, lambda wanted: wanted.join(sets, "cid"), percent), "star-links")
         share = more.count() / max(1, star.count())
-        tested, links = tested.unionByName(star), links.unionByName(more)
+        tested = tested.unionByName(star)
     if sets is None:
         return comp
     still = rest.select("cid", "label").distinct()
@@ -222,7 +227,7 @@ def _link_open_buckets(docs: DataFrame, met: DataFrame, tested: DataFrame, links
               .select(F.col("x.cid").alias("leader"), F.col("y.cid").alias("cid")).distinct()
               .join(tested, ["leader", "cid"], "left_anti"))
     more = written(confirm(written(across, "open-pairs"), lambda wanted: wanted.join(sets, "cid"), percent), "open-links")
-    return comp if more.isEmpty() else written(components(links.unionByName(more)), "components")
+    return comp if more.isEmpty() else written(components(_with(comp, more)), "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
