@@ -116,7 +116,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Of the pairs (leader, cid), those with 100 * intersection >= percent * union on the full sets.
 
-    ``sets_of`` adds the sets to rows (cid, leader, salt).  A leader with many members is copied to
+    Pairs are distinct.  ``sets_of`` adds the set to each row (cid, leader, salt), one row for one:
+    no aggregate stands above its join, so Spark may split a class that meets many leaders.  A leader with many members is copied to
     one salt per PAIRS_PER_SALT of them, so no task gets all members of a large group; each set
     travels once per leader.
     """
@@ -137,7 +138,7 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
                     if 100 * both >= percent * (len(mine) + len(s) - both):
                         found.append((cid, leader))
             yield pa.RecordBatch.from_pylist([{"a": c, "b": l} for c, l in found], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    dealt = sets_of(members.unionByName(leaders)).select("cid", "leader", "salt", "set").dropDuplicates(["leader", "salt", "cid"])
+    dealt = sets_of(members.unionByName(leaders)).select("cid", "leader", "salt", "set")
     dealt = dealt.repartition("leader", "salt").sortWithinPartitions("leader", "salt", (F.col("cid") != F.col("leader")))
     return map_batches(dealt, run, "a long, b long")
 
@@ -246,7 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shared = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = written(buckets.join(shared, "key"), "buckets")
     stars = met.where("cid <> leader").select("leader", "cid").distinct()
-    links = written(confirm(stars, lambda wanted: _sets(docs, wanted.join(reps.select("cid", "row_key", "d1"), "cid"), k), percent), "star-links")
+    # A repeated row has its twin's key, so the look-up by key may give a set twice.
+    links = written(confirm(stars, lambda wanted: _sets(docs, wanted.join(reps.select("cid", "row_key", "d1"), "cid"), k)
+                            .dropDuplicates(["leader", "salt", "cid"]), percent), "star-links")
     comp = _link_open_buckets(docs, met.select("key", "cid"), stars, links, reps, k, percent)
 
     of_class = (classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
