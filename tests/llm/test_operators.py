@@ -239,6 +239,18 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.keep_ordinary(odd, labels).columns == odd.columns
 
 
+def test_toxicity_counts_every_context(spark):
+    # "hub" follows 3,000 different words and is toxic: the shared backoff has all of them, in labelled texts or not.
+    texts = [f"a{i} {'hub' if i % 2 or i >= 200 else 'calm'} b{i}" for i in range(3100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    pairs = set()
+    for text in texts:
+        words = text.split()
+        pairs |= set(zip([None, *words], words))
+    assert np.isclose(toxicity.fit(docs, labels)["shared"].max(), 3000 / len(pairs))
+
+
 def test_pipeline_stages(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

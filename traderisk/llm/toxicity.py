@@ -1,8 +1,8 @@
 """Operator 10: toxicity by class-conditional Kneser-Ney models.
 
 Two word-pair models, one of toxic and one of ordinary text, share their last backoff: how many
-different contexts a word follows anywhere in the corpus, counted over *all* documents (contexts
-fall into 64 classes, a word's set of them is a bit mask, masks join by OR).  Counts are
+different words a word follows anywhere in the corpus, counted exactly over *all* documents
+(distinct word pairs by 64-bit hash, then their number by word).  Counts are
 numbers of texts, so one text that repeats a word teaches it once.  A word or pair whose class
 counts do not differ beyond ``SIGNIFICANT`` standard deviations of chance takes the counts of both
 classes together: a rare expression is evidence for neither.  A text's evidence is the mean
@@ -10,9 +10,9 @@ over its distinct word pairs of log P(word | previous, toxic) - log P(word | pre
 a logistic curve over that mean and the text's length turns it into a score.
 
 Class counts come from a bounded sample of labelled rows (``TRAIN_ROWS``, each text once), three
-quarters of it; the last quarter, unseen by the counts, fits the curve.  Word and pair tables
-are hashed to 2**WORD_BITS and 2**PAIR_BITS cells, so the model has a fixed size whatever the
-corpus holds.
+quarters of it; the last quarter, unseen by the counts, fits the curve.  The model holds the words
+of that sample that differ, alone or in a pair, and what the corpus says of them; all other words have
+the same probability in both classes, so of them only the number of pairs is needed.  Pair counts are hashed to 2**PAIR_BITS cells.
 
 Rows: empty or null texts score the sample's toxic share; without labelled rows of both classes
 all score that share (0 without any).  Null doc_ids and null labels are never learned from.
@@ -20,6 +20,7 @@ all score that share (0 without any).  Null doc_ids and null labels are never le
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ from traderisk.llm.language_id import fold
 from traderisk.llm.textkernels import mix, word_hashes
 
 TRAIN_ROWS = 20_000
-WORD_BITS, PAIR_BITS = 18, 21
+PAIR_BITS = 21
+HELD_PAIRS = 1 << 21  # word pairs a task holds before it gives out the distinct ones
+BUCKETS, BUCKET_SHIFT = 1 << 12, np.uint64(52)  # ranges of pair hashes
 DISCOUNT = 0.75
 SIGNIFICANT = 3.5
 START = np.uint64(0x5BD1E995)
-SCHEMA = "kind int, cell long, n long, mask long"
+SCHEMA = "kind int, key long, n long"
 TOXIC, ORDINARY = 1, 0
 
 
@@ -50,62 +53,137 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _distinct(words: np.ndarray, before: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word cell, context cell, pair cell, text) of the distinct pairs of each text."""
-    pairs = _pair(before, words)
+    """(word, context, pair cell, text) of the distinct pairs of each text."""
+    pairs = _cell(_pair(before, words))
     _, first = np.unique((text << PAIR_BITS) + pairs, return_index=True)
-    return _cell(words[first]), _cell(before[first]), pairs[first], text[first]
+    return words[first], before[first], pairs[first], text[first]
 
 
-def _cell(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(3) + words)
 
 
-def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (mix(before * np.uint64(3) + words) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
+def _cell(pairs: np.ndarray) -> np.ndarray:
+    return (pairs & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
+
 
+def _at(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Index of each word in the sorted vocabulary; its length for a word that is not there."""
+    at = np.searchsorted(vocabulary, words)
+    return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == words, at, len(vocabulary))
 
-def _bit(words: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (mix(words) >> np.uint64(58))
 
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
+                                      names=["kind", "key", "n"])
 
-def _rows(kind: int, cells: np.ndarray, n: np.ndarray | None = None, mask: np.ndarray | None = None) -> pa.RecordBatch:
-    zero = np.zeros(len(cells), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), kind, np.int32)), pa.array(cells),
-                                       pa.array(zero if n is None else n), pa.array(zero if mask is None else mask.view(np.int64))],
-                                      names=["kind", "cell", "n", "mask"])
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by word and class (kinds 0 and 1; START counts the texts with words), by pair and class (2 and 3)."""
+    for batch in batches:
+        words, before, text, _ = _words(texts_of(batch))
+        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
+        vocabulary, at = np.unique(np.concatenate([words, before[before == START]]), return_inverse=True)
+        once = np.unique(np.concatenate([text, text[before == START]]) * len(vocabulary) + at)
+        of, once = np.divmod(once, max(1, len(vocabulary)))
+        _, _, p, t = _distinct(words, before, text)
+        for c in (ORDINARY, TOXIC):
+            yield _rows(c, *np.unique(vocabulary[once[label[of] == c]], return_counts=True))
+            yield _rows(2 + c, *np.unique(p[label[t] == c], return_counts=True))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Context masks by word over all texts: one row per word cell and task at most."""
-    masks = np.zeros(1 << WORD_BITS, np.uint64)
+def _telling(batches: Iterator[pa.RecordBatch], telling: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Context and word of the pairs in telling cells."""
     for batch in batches:
         words, before, _, _ = _words(texts_of(batch))
-        np.bitwise_or.at(masks, _cell(words), _bit(before))
-    cells = np.flatnonzero(masks)
-    yield _rows(0, cells, mask=masks[cells])
+        pair = _pair(before, words)
+        _, first = np.unique(pair, return_index=True)
+        first = first[telling[_cell(pair[first])]]
+        yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64))], names=["before", "word"])
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts by word and class with masks of followers (kinds 1 and 2), by pair and class (3 and 4)."""
-    words_n = np.zeros((2, 1 << WORD_BITS), np.int64)
-    follow = np.zeros((2, 1 << WORD_BITS), np.uint64)
-    pairs_n = np.zeros((2, 1 << PAIR_BITS), np.int32)
+def _followers(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class, context (its index) and pair of every pair whose context is in the vocabulary."""
     for batch in batches:
         words, before, text, _ = _words(texts_of(batch))
-        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
-        once = np.unique((text << WORD_BITS) + _cell(words))
-        w, v, p, t = _distinct(words, before, text)
+        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)[text]
+        at, pair = _at(vocabulary, before), _pair(before, words)
         for c in (ORDINARY, TOXIC):
-            mine = once[label[once >> WORD_BITS] == c] & ((1 << WORD_BITS) - 1)
-            words_n[c] += np.bincount(mine, minlength=1 << WORD_BITS)
-            mine = label[t] == c
-            np.bitwise_or.at(follow[c], v[mine], np.uint64(1) << (mix(w[mine].astype(np.uint64)) >> np.uint64(58)))
-            np.add.at(pairs_n[c], p[mine], 1)
-    for c in (ORDINARY, TOXIC):
-        cells = np.flatnonzero((words_n[c] > 0) | (follow[c] > 0))
-        yield _rows(1 + c, cells, words_n[c][cells], follow[c][cells])
-        cells = np.flatnonzero(pairs_n[c])
-        yield _rows(3 + c, cells, pairs_n[c][cells].astype(np.int64))
+            mine = np.flatnonzero((label == c) & (at < len(vocabulary)))
+            found, first = np.unique(pair[mine], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c, np.int32)), pa.array(at[mine][first]), pa.array(found.view(np.int64))],
+                                             names=["toxic", "at", "pair"])
+
+
+def _packed(pair: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, n, packed) of sorted distinct pairs and their words: differences of the pairs
+    by byte position, what is above the five low bytes (which are as good as random) deflated."""
+    cut = np.searchsorted(pair, np.arange(BUCKETS + 1, dtype=np.uint64) << BUCKET_SHIFT) if len(pair) else np.zeros(BUCKETS + 1, np.int64)
+    cut[-1] = len(pair)
+    rows = []
+    for bucket in np.flatnonzero(np.diff(cut)):
+        one = slice(cut[bucket], cut[bucket + 1])
+        step = np.diff(pair[one], prepend=np.uint64(bucket) << BUCKET_SHIFT)
+        planes = step.view(np.uint8).reshape(-1, 8).T
+        rows.append((int(bucket), len(step), planes[:5].tobytes() + zlib.compress(planes[5:].tobytes() + word[one].view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "n", "packed"])
+
+
+def _unpacked(bucket: int, n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(packed[: 5 * n] + zlib.decompress(packed[5 * n:]), np.uint8)
+    step = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(step, dtype=np.uint64) + (np.uint64(bucket) << BUCKET_SHIFT), np.ascontiguousarray(planes[8 * n:].reshape(4, n).T).view(np.int32).ravel()
+
+
+def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """(different contexts of each word of the vocabulary, distinct pairs of all words) over all texts.
+
+    Tasks give out distinct pairs by ranges of their hash (``BUCKETS``), so equal pairs meet in one
+    bucket, whatever their word, and a frequent word is spread over all."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, word = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        new, size = [], 0
+        for batch in batches:
+            words, before, _, _ = _words(texts_of(batch))
+            found, first = np.unique(_pair(before, words), return_index=True)
+            new.append((found, _at(sent.value, words[first]).astype(np.int32)))
+            size += len(found)
+            if len(pair) + size > HELD_PAIRS:
+                pair, word, new, size = *_merged([(pair, word), *new]), [], 0
+                if len(pair) > HELD_PAIRS // 2:
+                    yield from _packed(pair, word)
+                    pair, word = pair[:0], word[:0]
+        yield from _packed(*_merged([(pair, word), *new]))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value) + 1, np.int64)
+        held, at = [], -1
+        for batch in batches:
+            for bucket, size, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "packed"))):
+                if bucket != at and held:
+                    n += np.bincount(_merged(held)[1], minlength=len(n))
+                    held = []
+                at = bucket
+                held.append(_unpacked(bucket, size, packed))
+        if held:
+            n += np.bincount(_merged(held)[1], minlength=len(n))
+        word = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n[word])], names=["word", "n"])
+    packed = map_batches(docs.select("text"), distinct_pairs, "bucket int, n int, packed binary")
+    table = (map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), counted, "word long, n long")
+             .groupBy("word").agg(F.sum("n").alias("n")).toArrow())  # a row per word of the vocabulary, one for all others
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[table.column("word").to_numpy()] = table.column("n").to_numpy()
+    return out[:-1], int(out.sum())
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, and their words."""
+    found, first = np.unique(np.concatenate([p for p, _ in parts]), return_index=True)
+    return found, np.concatenate([w for _, w in parts])[first]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
@@ -120,27 +198,40 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     model = {"prior": sum(n for (_, t), n in shares.items() if t == 1) / total if total else 0.0, "curve": None}
     if not (shares.get((False, 1)) and shares.get((False, 0))):
         return model
-    gathered = map_batches(docs.select("text"), _shared, SCHEMA).unionByName(
-        map_batches(sample.where("not curve").select("text", "toxic"), _classes, SCHEMA))
-    table = gathered.groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask")).toArrow()  # as many rows as cells at most
-    kind, cell, n, mask = (table.column(c).to_numpy() for c in ("kind", "cell", "n", "mask"))
-    ones = np.zeros(1 << WORD_BITS)
-    ones[cell[kind == 0]] = np.bitwise_count(mask[kind == 0].view(np.uint64))
-    model["shared"] = ((ones + 1) / (ones + 1).sum()).astype(np.float32)
-    words, followers, pairs = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << PAIR_BITS))
+    learned = sample.where("not curve").select("text", "toxic")
+    table = map_batches(learned, _classes, SCHEMA).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()  # words and pairs of the sample
+    kind, key, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
+    if not ((kind == ORDINARY).any() and (kind == TOXIC).any()):  # a class without any word
+        return model
+    known = np.unique(key[kind < 2].view(np.uint64))
+    words, pairs = np.zeros((2, len(known))), np.zeros((2, 1 << PAIR_BITS))
     for c in (ORDINARY, TOXIC):
-        words[c][cell[kind == 1 + c]] = n[kind == 1 + c]
-        followers[c][cell[kind == 1 + c]] = np.bitwise_count(mask[kind == 1 + c].view(np.uint64))
-        pairs[c][cell[kind == 3 + c]] = n[kind == 3 + c]
-    size = words.sum(axis=1)
-    back = np.minimum(words, DISCOUNT).sum() / size.sum() * model["shared"]
-    own = _differs(words, size)
+        words[c][_at(known, key[kind == c].view(np.uint64))] = n[kind == c]
+        pairs[c][key[kind == 2 + c]] = n[kind == 2 + c]
+    size = words[:, known != START].sum(axis=1)
+    discounted = np.minimum(words[:, known != START], DISCOUNT).sum() / size.sum()
+    telling, own = _differs(pairs, pairs.sum(axis=1)), _differs(words, size)
+    # Only these words tell the classes apart: those that differ themselves, or in a pair, and the contexts of such pairs.
+    masks = spark.sparkContext.broadcast(telling)
+    table = map_batches(learned.select("text"), lambda batches: _telling(batches, masks.value), "before long, word long").distinct().toArrow()  # pairs of the sample
+    used = np.concatenate([known[own], *(table.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))])
+    vocabulary = np.append(np.unique(used[used != START]), START)
+    vocabulary.sort()
+    words, own = words[:, _at(known, vocabulary)], own[_at(known, vocabulary)]
+    keys = spark.sparkContext.broadcast(vocabulary)
+    table = (map_batches(learned, lambda batches: _followers(batches, keys.value), "toxic int, at long, pair long").distinct()
+             .groupBy("toxic", "at").agg(F.count("*").alias("n")).toArrow())  # words of the vocabulary
+    label, at, different = (table.column(c).to_numpy() for c in ("toxic", "at", "n"))
+    contexts, total = continuations(docs, vocabulary)
+    model |= {"vocabulary": vocabulary, "shared": contexts / max(1, total), "telling": telling}
+    back = discounted * model["shared"]
     for c in (ORDINARY, TOXIC):
+        followers = np.zeros(len(vocabulary))
+        followers[at[label == c]] = different[label == c]
         alone = np.where(own, np.maximum(words[c] - DISCOUNT, 0) / size[c], np.maximum(words.sum(axis=0) - DISCOUNT, 0) / size.sum()) + back
-        left = np.clip(DISCOUNT * followers[c] / np.maximum(words[c], 1), 0.05, 1.0)  # a context's mass for the backoff
+        left = np.clip(DISCOUNT * followers / np.maximum(words[c], 1), 0.05, 1.0)  # a context's mass for the backoff
         model[c] = {"alone": alone.astype(np.float32), "context": np.maximum(words[c], 1).astype(np.float32),
                     "left": left.astype(np.float32), "pairs": pairs[c].astype(np.float32)}
-    model["telling"] = _differs(pairs, pairs.sum(axis=1))
     sent = spark.sparkContext.broadcast(model)
 
     def evidence_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +256,18 @@ def evidence(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(length-normalised log-likelihood ratio, number of distinct word pairs) per text."""
     words, before, text, _ = _words(texts)
     w, v, p, t = _distinct(words, before, text)
+    size = np.bincount(t, minlength=len(texts))
+    w, v = _at(model["vocabulary"], w), _at(model["vocabulary"], v)
+    known = (w < len(model["vocabulary"])) & (v < len(model["vocabulary"]))
+    single = w < len(model["vocabulary"])  # a word beyond the vocabulary is as likely in both classes
+    w, v, p, t = w[single], np.where(known, v, 0)[single], p[single], t[single]
+    telling = model["telling"][p] & known[single]
     ratio = np.zeros(len(w))
     for c, sign in ((TOXIC, 1.0), (ORDINARY, -1.0)):
         m = model[c]
         alone = m["alone"][w]
         pair = np.maximum(m["pairs"][p] - DISCOUNT, 0) / m["context"][v] + m["left"][v] * alone
-        ratio += sign * np.log(np.where(model["telling"][p], pair, alone))
-    size = np.bincount(t, minlength=len(texts))
+        ratio += sign * np.log(np.where(telling, pair, alone))
     return np.bincount(t, ratio, minlength=len(texts)) / np.maximum(size, 1), size.astype(np.int64)
 
 
