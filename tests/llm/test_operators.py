@@ -211,6 +211,19 @@ def test_knapsack_finds_the_best_configuration():
     assert abs(packing.knapsack(lengths, prices, 16) @ prices - best) < 1e-9
 
 
+def test_linear_program_covers_a_wide_histogram():
+    lengths = np.arange(30, 2030)
+    demand = np.random.default_rng(7).integers(1, 13, len(lengths))
+    lengths, demand = np.append(lengths, 2048), np.append(demand, 100_000)
+    served = sum(counts * share for counts, share in packing.solve(lengths, demand.astype(float), 2048))
+    assert (served >= demand * (1 - 1e-6)).all()
+    table = packing.plan(dict(zip(lengths.tolist(), demand.tolist())), 2048)
+    last = table.groupby("length").tail(1)  # the last rows number all pieces of their length
+    sequences = table.base.max() + 1
+    assert len(last) == len(lengths) and table.attrs["lp_share"] > 0.75
+    assert sequences <= 1.02 * (lengths @ demand) / 2048 + 2
+
+
 def test_token_counts(odd, empty):
     c = token_counts.counter(pretokens.tokenizer_path("piece_bpe_32k.model"))
     assert c.splits

@@ -4,10 +4,13 @@
    of each length within their task.
 2. Only the histogram (at most ``capacity`` counts) reaches the driver.  The configuration LP
    "cover every length's count with as few full sequences as possible" is solved by
-   multiplicative weights: each round prices lengths, an unbounded knapsack dynamic program finds
-   the best configuration for these prices, and lengths it serves become cheaper.
-3. The fractional solution is rounded down without ever serving a length too often; what is
-   left is packed by best fit over the histogram, again in whole configurations.
+   multiplicative weights until every length is covered: each round prices lengths, an unbounded
+   knapsack dynamic program finds for every length its best configuration at these prices, those
+   within ``NEAR`` of the best are used, and lengths they serve become cheaper.
+3. The fractional solution is rounded without ever serving a length too often: of configurations
+   that leave at most ``EMPTY`` of a sequence, the whole parts, then one more use of each as far as
+   the counts allow.  What is left is packed by best fit over the histogram, again in whole
+   configurations; the share of pieces that the program placed is logged.
 4. The plan (bounded by the histogram, not by the documents) gives the n-th piece of a length its
    sequence and offset; pieces get n from per-task counts, so no length is gathered anywhere.
 
@@ -17,6 +20,7 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +35,12 @@ from pyspark.sql.window import Window
 from traderisk.llm.common import map_batches, texts_of, written
 from traderisk.llm.pretokens import encoder, tokenizer_path
 
+LOG = logging.getLogger(__name__)
 CAPACITY = 2048
-ROUNDS = 400
+STEP = 0.125  # of a length's demand that one use of a configuration serves at most
+NEAR = 0.02
+EMPTY = 0.005  # of a sequence in a configuration that the plan takes over
+PRICE_FALL = 4.0  # a served length's price falls to exp(-PRICE_FALL)
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, nth long"
 
 
@@ -69,41 +77,58 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe
     return map_batches(docs.select("doc_id", "text"), run, PIECE_SCHEMA)
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by length of the configuration of most value within the capacity."""
+def knapsack_table(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best value, length taken last or -1) by room."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        fit = int(np.searchsorted(lengths, room, "right"))
         best[room] = best[room - 1]
-        if fit:
+        if fit := fits[room]:
             value = prices[:fit] + best[room - lengths[:fit]]
-            top = int(value.argmax())
+            top = value.argmax()
             if value[top] > best[room]:
                 best[room], choice[room] = value[top], top
-    counts, room = np.zeros(len(lengths), np.int64), capacity
+    return best, choice
+
+
+def configuration(lengths: np.ndarray, choice: np.ndarray, room: int) -> np.ndarray:
+    """Counts by length of the configuration that the table has for this room."""
+    counts = np.zeros(len(lengths), np.int64)
     while room > 0:
         if choice[room] < 0:
             room -= 1
             continue
         counts[choice[room]] += 1
-        room -= lengths[choice[room]]
+        room -= int(lengths[choice[room]])
     return counts
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional configurations by multiplicative weights with knapsack pricing."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts by length of the configuration of most value within the capacity."""
+    return configuration(lengths, knapsack_table(lengths, prices, capacity)[1], capacity)
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Fractional configurations that cover the whole demand, by multiplicative weights with knapsack pricing."""
     served, prices, found = np.zeros(len(lengths)), lengths / capacity, {}
-    # A round adds one 64th of what its configuration could serve before a length runs out.
-    while served.min() < 1.0 and len(found) < rounds:
-        counts = knapsack(lengths, np.where(served < 1.0, prices, 0.0), capacity)
-        used = counts > 0
-        times = float((demand[used] / counts[used]).min()) / 64
-        key = counts.tobytes()
-        found[key] = (counts, found.get(key, (counts, 0.0))[1] + times)
-        gain = counts * times / demand
-        served += gain
-        prices = lengths / capacity * np.exp(-8.0 * served)
-    return list(found.values())
+    while served.min() < 1.0:
+        best, choice = knapsack_table(lengths, prices, capacity)
+        value = prices + best[capacity - lengths]  # of the best configuration with this length
+        enough = (1 - NEAR) * best[capacity]
+        near = np.flatnonzero((served < 1.0) & (value >= enough))
+        for i in near[np.argsort(-value[near], kind="stable")]:
+            counts = configuration(lengths, choice, capacity - int(lengths[i]))
+            counts[i] += 1
+            used = np.flatnonzero(counts)
+            if prices[used] @ counts[used] < enough:  # prices have fallen since the table
+                continue
+            times = float((demand[used] / counts[used]).min()) * STEP
+            key = counts.astype(np.int16).tobytes()
+            found[key] = found.get(key, 0.0) + times
+            served[used] += counts[used] * times / demand[used]
+            served[used] = np.where(served[used] > 1.0 - 1e-9, np.maximum(served[used], 1.0), served[used])
+            prices[used] = np.where(served[used] < 1.0, lengths[used] / capacity * np.exp(-PRICE_FALL * served[used]), 0.0)
+    return [(np.frombuffer(key, np.int16).astype(np.int64), share) for key, share in found.items()]
 
 
 def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -134,7 +159,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     on fill sequences from ``base`` on, ``per`` in each, the first at offset ``place``."""
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[n] for n in lengths], np.int64)
-    rows, nth, base = [], np.zeros(len(lengths), np.int64), 0
+    rows, nth, base, lp_share = [], np.zeros(len(lengths), np.int64), 0, 0.0
 
     def use(counts: np.ndarray, times: int) -> None:
         nonlocal base
@@ -146,15 +171,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
         base += times
 
     if len(lengths):
-        for counts, share in sorted(solve(lengths, left.astype(float), capacity), key=lambda x: -x[1]):
-            used = counts > 0
-            times = min(int(share), int((left[used] // counts[used]).min()))
+        total = int(left.sum())
+
+        def take(counts: np.ndarray, most: int) -> None:
+            used = np.flatnonzero(counts)
+            times = min(most, int((left[used] // counts[used]).min()))
             if times:
                 use(counts, times)
-                left -= counts * times
+                left[used] -= counts[used] * times
+        found = sorted(solve(lengths, left.astype(float), capacity), key=lambda x: -x[1])
+        full = [(counts, share) for counts, share in found if lengths @ counts >= (1 - EMPTY) * capacity]
+        for counts, share in full:
+            take(counts, int(share))
+        for counts, _ in sorted(full, key=lambda x: (-int(lengths @ x[0]), -(x[1] % 1))):
+            take(counts, 1)
+        lp_share = 1 - int(left.sum()) / total
+        LOG.info("%d lengths, %d pieces: %.1f %% placed by %d configurations of the linear program (value %.1f, bound %.1f)", len(lengths),
+                 total, 100 * lp_share, len(found), sum(x for _, x in found), sum(n * m for n, m in histogram.items()) / capacity)
         for counts, times in fill(lengths, left, capacity):
             use(counts, times)
-    return pd.DataFrame(rows, columns=["length", "from_nth", "per", "base", "place"], dtype="int64")
+    table = pd.DataFrame(rows, columns=["length", "from_nth", "per", "base", "place"], dtype="int64")
+    table.attrs["lp_share"] = lp_share
+    return table
 
 
 def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
