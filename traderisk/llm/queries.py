@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traderisk.llm import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, token_counts, token_files, toxicity, url_filter
+from traderisk.llm import (chat_format, decontamination, importance, language_id, lexical_search, mixing, near_dedup, packing, quality_rules,
+                           token_counts, token_files, toxicity, url_filter)
 from traderisk.llm.common import read
 
 
@@ -63,6 +64,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for each benchmark item."""
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, sources weighing 5, 2, 1, none above two epochs."""
+    rows = mixing.mixture(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words and word pairs."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,5 +91,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_importance_resampling": op13_importance_resampling,
+}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_source_mixing": mixing.SQL,
+    "op13_importance_resampling": importance.SQL,
 }
-ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}
