@@ -35,7 +35,7 @@ from traderisk.llm.common import map_batches, written
 from traderisk.llm.terms import blocks, hashes
 
 TOP = 50
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 2048
 BLOCK_POSTINGS = 1 << 21  # a block of fewer documents ends beyond so many postings
 BUNDLE_ITEMS = 256
 WAVE = 64
