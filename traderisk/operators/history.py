@@ -3,7 +3,7 @@ plus the dataset profile (A9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traderisk import constants as K
@@ -13,36 +13,59 @@ from traderisk.operators.clean import CRITICAL_COLUMNS
 from traderisk.operators.features import default_risk_score
 
 
+def _most_frequent(tag: str) -> Column:
+    """The value with the highest count among the rows of ``tag``, the smallest one of equals; NULLs never count."""
+    mine = (F.col("_tag") == tag) & F.col("_value").isNotNull()
+    return F.min_by("_value", F.when(mine, F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("value"))))
+
+
 def buyer_history(shipments: DataFrame) -> DataFrame:
     """One row per buyer over the raw shipments.
 
-    Modes use ``mode(c, deterministic=True)``: ties go to the smallest value,
-    nulls are ignored, an all-null group gives NULL.  The value trend compares
-    the buyer's mean invoice with the row-level mean of all shipments; that
-    overall mean is re-derived from the per-buyer sums (including the NULL-buyer
-    group).
+    Two-phase modes, in one scan: rows are counted by (buyer, country, category)
+    together with the partial sums, each of these counts is regrouped by (buyer,
+    value) for country and for category, and the buyer keeps the value with the
+    highest count.  Every phase is an ordinary partial aggregate: no buffer of a
+    buyer's values anywhere.  Ties go to the smallest value, NULLs are ignored, an
+    all-NULL buyer gives NULL.  The value trend compares the buyer's mean invoice
+    with the row-level mean of all shipments, re-derived from the per-buyer sums
+    (including the NULL-buyer group).
     """
     inv = F.col("invoice_value_usd")
-    per_buyer = shipments.groupBy("buyer_id").agg(
-        F.count("shipment_id").alias("total_orders"),
-        F.sum(inv).cast("double").alias("total_value_usd"),
-        F.avg("payment_delay_days").alias("avg_payment_delay_days"),
-        safe_rate(F.sum("was_disputed"), F.count("was_disputed")).alias("dispute_rate"),
-        safe_rate(F.sum("was_paid_in_full"), F.count("was_paid_in_full")).alias("paid_in_full_rate"),
-        safe_rate(F.sum(inv), F.count(inv)).alias("avg_invoice_value"),
-        F.min("shipment_date").alias("first_order_date"),
-        F.max("shipment_date").alias("last_order_date"),
-        F.mode("buyer_country", True).alias("primary_country"),
-        F.mode("product_category", True).alias("primary_category"),
-        F.sum(inv).alias("_s"), F.count(inv).alias("_c"),
-    )
+    sums = {"orders": F.count("shipment_id"), "inv": F.sum(inv), "n_inv": F.count(inv),
+            "delay": F.sum("payment_delay_days"), "n_delay": F.count("payment_delay_days"),
+            "disp": F.sum("was_disputed"), "n_disp": F.count("was_disputed"),
+            "paid": F.sum("was_paid_in_full"), "n_paid": F.count("was_paid_in_full")}
+    counted = shipments.groupBy("buyer_id", "buyer_country", "product_category").agg(
+        F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in sums.items()],
+        F.min("shipment_date").alias("_first"), F.max("shipment_date").alias("_last"))
+    # The sums go with the country rows only, so that they are added once.
+    stats = [f"_{k}" for k in sums] + ["_first", "_last"]
+    types = {f.name: f.dataType for f in counted.schema.fields}
+    by_country = F.struct(F.lit("country").alias("_tag"), F.col("buyer_country").alias("_value"), "_n", *stats)
+    by_category = F.struct(F.lit("category").alias("_tag"), F.col("product_category").alias("_value"), "_n",
+                           *[F.lit(None).cast(types[c]).alias(c) for c in stats])
+    tagged = counted.select("buyer_id", F.explode(F.array(by_country, by_category)).alias("x")).select("buyer_id", "x.*")
+    values = tagged.groupBy("buyer_id", "_tag", "_value").agg(
+        F.sum("_n").alias("_n"), *[F.sum(f"_{k}").alias(f"_{k}") for k in sums],
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    per_buyer = values.groupBy("buyer_id").agg(
+        F.sum("_orders").alias("total_orders"),
+        F.sum("_inv").alias("_s"), F.sum("_n_inv").alias("_c"),
+        *[safe_rate(F.sum(f"_{k}"), F.sum(f"_n_{k}")).alias(name) for k, name in
+          (("delay", "avg_payment_delay_days"), ("disp", "dispute_rate"), ("paid", "paid_in_full_rate"))],
+        F.min("_first").alias("first_order_date"), F.max("_last").alias("last_order_date"),
+        _most_frequent("country").alias("primary_country"), _most_frequent("category").alias("primary_category"))
     overall = per_buyer.agg(safe_rate(F.sum("_s"), F.sum("_c")).alias("_overall"))
     avg_inv, ov = F.col("avg_invoice_value"), F.col("_overall")
     trend = (F.when(avg_inv < F.lit(K.TREND_DECLINING_BELOW) * ov, F.lit("declining"))
              .when(avg_inv > F.lit(K.TREND_GROWING_ABOVE) * ov, F.lit("growing"))
              .otherwise(F.lit("stable")))
-    out = per_buyer.where(F.col("buyer_id").isNotNull()).crossJoin(F.broadcast(overall))  # 1-row side
-    return out.withColumn("value_trend", trend).drop("_s", "_c", "_overall")
+    named = per_buyer.where(F.col("buyer_id").isNotNull()).select(
+        "buyer_id", "total_orders", F.col("_s").cast("double").alias("total_value_usd"), "avg_payment_delay_days",
+        "dispute_rate", "paid_in_full_rate", safe_rate("_s", "_c").alias("avg_invoice_value"),
+        "first_order_date", "last_order_date", "primary_country", "primary_category")
+    return named.crossJoin(F.broadcast(overall)).withColumn("value_trend", trend).drop("_overall")  # 1-row side
 
 
 def buyer_profile(clean: DataFrame) -> DataFrame:
@@ -81,31 +104,56 @@ def country_profile(country_risk: DataFrame, score_decimals: int = 4) -> DataFra
     )
 
 
+_DISTINCT = {"shipment_id": "n_shipment_ids", "buyer_id": "n_buyers", "exporter_id": "n_exporters",
+             "buyer_country": "n_buyer_countries"}
+
+
 def dataset_profile(shipments: DataFrame, country_risk: DataFrame) -> DataFrame:
-    """Row counts, distinct keys, date range, incomplete rows and labels."""
-    incomplete = None
+    """Row counts, distinct keys, date range, incomplete rows and labels.
+
+    One scan of each table and a two-level distinct: every row gives one (column,
+    value) pair per counted column, pairs are de-duplicated by partial aggregates,
+    map-side first, and the de-duplicated pairs are counted per column.  The row
+    counts ride along as sums on the pairs of one column with few values.
+    """
+    incomplete = F.lit(False)
     for c in CRITICAL_COLUMNS:
-        cond = F.col(c).isNull()
-        incomplete = cond if incomplete is None else (incomplete | cond)
+        incomplete = incomplete | F.col(c).isNull()
     positive = F.coalesce(default_risk_score() > F.lit(K.LABEL_THRESHOLD), F.lit(False))
-    def distinct(column: str, name: str) -> DataFrame:
-        return shipments.agg(F.count_distinct(column).alias(name))
-    # One aggregate per distinct column: several in one would copy every row for each.
-    ship = shipments.agg(
-        F.count(F.lit(1)).alias("n_shipments"),
-        F.min("shipment_date").alias("first_shipment_date"),
-        F.max("shipment_date").alias("last_shipment_date"),
-        F.count_if(incomplete).alias("n_incomplete"),
-        F.count_if(~incomplete & positive).alias("n_default_positive"),
-        F.count_if(~incomplete & ~positive).alias("n_default_negative"),
-    )
-    risk = country_risk.agg(
-        F.count(F.lit(1)).alias("n_country_months"),
-        F.count_distinct("country").alias("n_risk_countries"),
-        F.min("month").alias("first_month"),
-        F.max("month").alias("last_month"),
-    )
-    for column, name in (("shipment_id", "n_shipment_ids"), ("buyer_id", "n_buyers"), ("exporter_id", "n_exporters"),
-                         ("buyer_country", "n_buyer_countries")):
-        ship = ship.crossJoin(distinct(column, name))
-    return ship.crossJoin(risk)  # all sides are global aggregates: one row each
+
+    def rows_of(table: DataFrame, columns: list[str], carrier: str, date: str, counts: dict[str, Column]) -> DataFrame:
+        def pair(c: str) -> Column:
+            mine = c == carrier
+            zero = F.lit(0).cast("long")
+            return F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value"),
+                            F.when(F.lit(mine), F.col(date)).alias("_date"),
+                            *[(when.cast("long") if mine else zero).alias(k) for k, when in counts.items()])
+        return table.select(F.explode(F.array(*[pair(c) for c in columns])).alias("x")).select("x.*")
+
+    complete, yes, no = ~incomplete, F.lit(True), F.lit(False)
+    ship = rows_of(shipments, list(_DISTINCT), "buyer_country", "shipment_date", {
+        "_ships": yes, "_incomplete": incomplete, "_positive": complete & positive, "_negative": complete & ~positive, "_months": no})
+    risk = rows_of(country_risk, ["country"], "country", "month", {
+        "_ships": no, "_incomplete": no, "_positive": no, "_negative": no, "_months": yes})
+    sums = ["_ships", "_incomplete", "_positive", "_negative", "_months"]
+    pairs = ship.unionByName(risk).groupBy("_column", "_value").agg(
+        F.min("_date").alias("_min"), F.max("_date").alias("_max"), *[F.sum(c).alias(c) for c in sums])
+
+    def of(column: str) -> Column:
+        return F.col("_column") == column
+
+    def distinct(column: str) -> Column:
+        return F.count_if(of(column) & F.col("_value").isNotNull())
+
+    def total(column: str, name: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0).cast("long")).alias(name)
+
+    return pairs.agg(
+        total("_ships", "n_shipments"),
+        F.min(F.when(of("buyer_country"), F.col("_min"))).alias("first_shipment_date"),
+        F.max(F.when(of("buyer_country"), F.col("_max"))).alias("last_shipment_date"),
+        total("_incomplete", "n_incomplete"), total("_positive", "n_default_positive"), total("_negative", "n_default_negative"),
+        *[distinct(column).alias(name) for column, name in _DISTINCT.items()],
+        total("_months", "n_country_months"), distinct("country").alias("n_risk_countries"),
+        F.min(F.when(of("country"), F.col("_min"))).alias("first_month"),
+        F.max(F.when(of("country"), F.col("_max"))).alias("last_month"))
