@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traderisk.operators import clean as C
 from traderisk.operators import features as FE
@@ -245,6 +246,25 @@ def q_feature_matrix(spark, sf_dir):
     return FE.feature_matrix(FE.engineer_features(t.shipments, t.country_risk))
 
 
+# The same matrix over shipments that lack values: every fill of B4 and B6 runs.
+_GAPS = {"payment_delay_days": "hs_code % 5 = 2", "was_disputed": "hs_code % 7 = 3", "was_paid_in_full": "hs_code = 11",
+         "shipment_date": "hs_code = 13"}
+_GAPS_SQL = ", ".join(f"CASE WHEN NOT ({rule}) THEN {c} END AS {c}" for c, rule in _GAPS.items())
+CTE_GAPS = f"""
+gaps AS (SELECT * REPLACE ({_GAPS_SQL}) FROM shipments)"""
+
+
+@query("feature_matrix_with_gaps", f"""
+SELECT shipment_id, {", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in FE.K.FEATURE_COLUMNS)},
+       payment_default_risk
+FROM (SELECT shipment_id, {_FM_COLS}, payment_default_risk FROM features)""",
+       (CTE_GAPS, CTE_CLEAN.replace("FROM shipments", "FROM gaps"), CTE_JOINED, CTE_FEATURES))
+def q_feature_matrix_with_gaps(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    gaps = t.shipments.withColumns({c: F.when(~F.expr(rule), F.col(c)) for c, rule in _GAPS.items()})
+    return FE.feature_matrix(FE.engineer_features(gaps, t.country_risk))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from traderisk.plans import queries_scoring  # noqa: F401  (registers the rest)
     return dict(QUERIES)

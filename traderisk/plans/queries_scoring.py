@@ -153,7 +153,7 @@ def model_reasons_sql(variant: str) -> str:
                  f" WHEN payment_delay_days > {K.REASON_DELAY_MID} THEN {fmt_int_sql(K.TEXT_DELAY_MODERATE, 'payment_delay_days')} END")
         sanctions = "trade_sanctions_flag = 1"
     else:
-        new_text = K.TEXT_NEW_BUYER_WAREHOUSE
+        new_text = K.TEXT_NEW_BUYER_OFFLINE if variant == "offline" else K.TEXT_NEW_BUYER_WAREHOUSE
         delay = (f"CASE WHEN payment_delay_days > {K.REASON_DELAY_HIGH} "
                  f"THEN {fmt_int_sql(K.TEXT_DELAY_ABOVE, 'payment_delay_days')} END")
         sanctions = "trade_sanctions_flag <> 0"
@@ -186,8 +186,9 @@ RELIABILITY_SQL = ("CASE WHEN buyer_total_orders > 0 AND payment_delay_days > 0
                    "CAST(100 AS DOUBLE) - payment_delay_days * CAST(1.5 AS DOUBLE) - buyer_dispute_rate * "
                    "CAST(200 AS DOUBLE)) ELSE CAST(100 AS DOUBLE) END")
 
-CTE_SCORED = f"""
-rs AS (SELECT df.*, {RULE_SCORE_SQL} AS _score, {RULE_REASONS_SQL} AS supporting_reasons FROM df),
+def scored_cte(score: str, reasons: str) -> str:
+    return f"""
+rs AS (SELECT df.*, {score} AS _score, {reasons} AS supporting_reasons FROM df),
 rs2 AS (
   SELECT *, {half_up_sql('_score', 1)} AS risk_score,
          {half_up_sql('currency_volatility_index', 3)} AS currency_volatility,
@@ -215,6 +216,8 @@ scored AS (
   FROM rs2
 )"""
 
+
+CTE_SCORED = scored_cte(RULE_SCORE_SQL, RULE_REASONS_SQL)
 SCORING_CTES = (CTE_CLEAN, CTE_BP, CTE_CP, CTE_DF, CTE_SCORED)
 
 
@@ -306,6 +309,43 @@ def q_deal_reasons(spark, sf_dir):
                     F.array_join(SC.model_reasons("warehouse"), " | ").alias("warehouse_reasons"))
 
 
+@query("deal_reasons_offline", f"""
+SELECT deal_id, {model_reasons_sql('offline')} AS offline_reasons FROM df""", (CTE_CLEAN, CTE_BP, CTE_CP, CTE_DF))
+def q_deal_reasons_offline(spark, sf_dir):
+    """S8 when the warehouse cannot be reached: the other text for a new buyer."""
+    f = _deal_features(spark, sf_dir)
+    return f.select("deal_id", F.array_join(SC.model_reasons("warehouse", warehouse_online=False), " | ").alias("offline_reasons"))
+
+
+@query("score_deals_constant", "SELECT * FROM scored", (CTE_CLEAN, CTE_BP, CTE_CP, CTE_DF, scored_cte("CAST(50 AS DOUBLE)", model_reasons_sql("warehouse"))))
+def q_score_deals_constant(spark, sf_dir):
+    """S14, warehouse mode without a model: the constant score and the warehouse reasons."""
+    return SC.flatten_reasons(SC.score_deals(_deal_features(spark, sf_dir), fallback="constant"))
+
+
+CTE_FIRST = """
+fs AS (
+  SELECT buyer_id, buyer_country AS first_country, product_category AS first_category
+  FROM (SELECT buyer_id, buyer_country, product_category,
+               ROW_NUMBER() OVER (PARTITION BY buyer_id ORDER BY shipment_date NULLS LAST, shipment_id) AS nth FROM clean)
+  WHERE nth = 1
+)"""
+
+# File mode: the country of a known buyer's earliest shipment replaces the deal's.
+CTE_DEALS_FILE = f"""
+deals_file AS (
+  SELECT d.* REPLACE (coalesce({strip_upper_sql('fs.first_country')}, d.buyer_country) AS buyer_country)
+  FROM deals d LEFT JOIN fs ON d.buyer_id = fs.buyer_id
+)"""
+
+
+@query("deal_features_file", "SELECT * FROM df", (CTE_CLEAN, CTE_BP, CTE_CP, CTE_FIRST, CTE_DEALS_FILE, CTE_DF.replace("FROM deals d", "FROM deals_file d")))
+def q_deal_features_file(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    clean = C.clean_shipments(t.shipments)
+    return SC.deal_features(t.deals, H.buyer_profile(clean), H.country_profile(t.country_risk), H.buyer_first_shipment(clean))
+
+
 # ---------------------------------------------------------------------------
 # Dashboards
 # ---------------------------------------------------------------------------
@@ -377,6 +417,19 @@ def q_buyer_lookup(spark, sf_dir):
     return D.buyer_lookup(tables(spark, sf_dir).shipments, as_of=AS_OF)
 
 
+@query("buyer_lookup_file", f"""
+SELECT bp.buyer_id, bp.buyer_total_orders AS total_orders,
+       {half_up_sql('bp.buyer_total_value', 2)} AS total_value_usd,
+       {half_up_sql('bp.buyer_avg_delay', 1)} AS avg_payment_delay_days,
+       {half_up_sql('bp.buyer_dispute_rate', 4)} AS dispute_rate,
+       {half_up_sql('bp.buyer_paid_in_full_rate', 4)} AS paid_in_full_rate,
+       fs.first_country AS primary_country, fs.first_category AS primary_category, hist.value_trend
+FROM bp JOIN fs USING (buyer_id) LEFT JOIN hist ON bp.buyer_id = hist.buyer_id""", (CTE_CLEAN, CTE_BP, CTE_FIRST, CTE_HIST))
+def q_buyer_lookup_file(spark, sf_dir):
+    """S15 + E2, file mode: the cleaned aggregates and the earliest shipment of every buyer."""
+    return D.buyer_lookup(tables(spark, sf_dir).shipments, variant="file")
+
+
 @query("country_trend_lookup", f"""
 SELECT * FROM (
   SELECT {strip_upper_sql('country')} AS country, month, political_stability_score, currency_volatility_index,
