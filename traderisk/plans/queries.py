@@ -246,6 +246,38 @@ def q_feature_matrix(spark, sf_dir):
     return FE.feature_matrix(FE.engineer_features(t.shipments, t.country_risk))
 
 
+# ---------------------------------------------------------------------------
+# CSV ingest with rejected rows (A1, A4)
+# ---------------------------------------------------------------------------
+@query("csv_ingest", """
+SELECT outcome, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN outcome = 'loaded' THEN invoice_value_usd END) AS DOUBLE) AS loaded_value_usd
+FROM (SELECT invoice_value_usd,
+             CASE WHEN hs_code = 14 THEN 'wrong number of columns'
+                  WHEN hs_code = 2 THEN 'shipment_date is no date'
+                  WHEN hs_code = 5 THEN 'was_disputed is no flag'
+                  WHEN hs_code = 9 THEN 'payment_delay_days is no int; was_paid_in_full is no flag'
+                  ELSE 'loaded' END AS outcome
+      FROM shipments)
+GROUP BY outcome""")
+def q_csv_ingest(spark, sf_dir):
+    """All shipments as CSV lines, some sections' rows spoilt, loaded: rows per outcome and the value that arrived."""
+    from traderisk import schemas
+    from traderisk import session as S
+    from traderisk.sources.loading import load_csv
+    spoilt = {"shipment_date": ("hs_code = 2", "2024-13-45"), "was_disputed": ("hs_code = 5", "maybe"),
+              "payment_delay_days": ("hs_code = 9", "ten"), "was_paid_in_full": ("hs_code = 9", "2")}
+    cells = [F.when(F.expr(spoilt[c][0]), F.lit(spoilt[c][1])).otherwise(F.col(c).cast("string")).alias(c)
+             if c in spoilt else F.col(c).cast("string").alias(c) for c in schemas.SHIPMENTS.fieldNames()]
+    line = F.when(F.col("hs_code") == 14, F.to_csv(F.struct(*cells[:-2]))).otherwise(F.to_csv(F.struct(*cells)))
+    source = S.unique_path(spark, "shipments-csv")
+    tables(spark, sf_dir).shipments.select(line.alias("value")).write.text(source)
+    loaded = load_csv(spark, source, schemas.SHIPMENTS, S.unique_path(spark, "shipments-from-csv"), header=False)
+    outcomes = loaded.table.select(F.lit("loaded").alias("outcome"), "invoice_value_usd").unionByName(
+        loaded.rejected.select(F.col("reason").alias("outcome"), F.lit(None).cast("decimal(18,2)").alias("invoice_value_usd")))
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.sum("invoice_value_usd").cast("double").alias("loaded_value_usd"))
+
+
 # The same matrix over shipments that lack values: every fill of B4 and B6 runs.
 _GAPS = {"payment_delay_days": "hs_code % 5 = 2", "was_disputed": "hs_code % 7 = 3", "was_paid_in_full": "hs_code = 11",
          "shipment_date": "hs_code = 13"}

@@ -1,4 +1,8 @@
-"""Typed sources and sinks (A1–A5, A8).  Schemas are declared, never inferred."""
+"""Typed sources and sinks (A1–A5, A8).  Schemas are declared, never inferred.
+
+Reading CSV here is strict: one row that does not fit ends the job.  ``loading.load_csv``
+loads the rows that fit and keeps the others with their reasons.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traderisk import schemas
-
-
-FLAG_COLUMNS = ("was_disputed", "was_paid_in_full", "trade_sanctions_flag")
-
+from traderisk.sources.loading import FLAG_COLUMNS, flag_of, load_table  # noqa: F401  (load_table: A4)
 
 def _flag(name: str):
-    word = F.lower(F.trim(F.col(name)))
-    return (F.when(word.isNull(), F.lit(None).cast("int")).when(word.isin("1", "true"), 1).when(word.isin("0", "false"), 0)
-            .otherwise(F.raise_error(F.concat(F.lit(f"{name} is no flag: "), F.col(name))).cast("int")))
+    return F.when(F.col(name).isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(
+        flag_of(name), F.raise_error(F.concat(F.lit(f"{name} is no flag: "), F.col(name))).cast("int")))
 
 
 def _typed_read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
@@ -53,22 +53,6 @@ def read_deals(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return _typed_read(spark, path, schemas.DEALS, fmt)
 
 
-# The usual row-group size: large enough for few footer entries at scale.
-ROW_GROUP_BYTES = 128 * 1024 * 1024
-
-
-def load_table(df: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """A4: truncate-and-load a typed table; return the read-back frame and its row count.
-
-    The count comes from the written Parquet (footer metadata), not from a second
-    evaluation of ``df``.
-    """
-    writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
-    writer.parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    return back, back.count()
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """A5: header CSV, ISO dates, one folder of part files (no single-file coalesce)."""
     df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)

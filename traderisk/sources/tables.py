@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from traderisk import schemas
 from traderisk import session as S
 from traderisk.sources import fixtures
-from traderisk.sources.readers import load_table
+from traderisk.sources.loading import load_table, open_table
 
 _BUILDERS = {
     "shipments": fixtures.build_shipments,
@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         load_table(df, path)
         _MEMO[key] = path
     # Declared schema: no footer sampling to infer it on every read.
-    return spark.read.schema(_SCHEMAS[name]).parquet(path)
+    return open_table(spark, path, _SCHEMAS[name])
 
 
 @dataclass
