@@ -74,3 +74,14 @@ def test_top_countries_side_is_a_ten_row_list(spark):
     plan = _plan(D.country_risk_over_time(t.shipments, t.country_risk))
     # the semi-join side is the 10-row top list
     assert "TakeOrderedAndProject(limit=10" in plan and "LeftSemi" in plan
+
+
+def test_profile_scans_each_table_once_and_modes_need_no_buffer(spark):
+    from traderisk.operators import history as H
+    t = tables(spark, SF_SMALL)
+    plan = _plan(H.dataset_profile(t.shipments, t.country_risk))
+    assert plan.count("FileScan parquet") == 2 and "Join" not in plan and "CartesianProduct" not in plan
+    plan = _plan(H.buyer_history(t.shipments))
+    assert "mode(" not in plan and "ObjectHashAggregate" not in plan
+    # The widest shuffle is of (buyer, country, category) counts, partially aggregated; rows are never shuffled.
+    assert "Exchange hashpartitioning(buyer_id#" in plan and "partial_count(1)" in plan
