@@ -10,7 +10,7 @@ over its distinct word pairs of log P(word | previous, toxic) - log P(word | pre
 a logistic curve over that mean and the text's length turns it into a score.
 
 Class counts come from a bounded sample of labelled rows (``TRAIN_ROWS``, each text once), three
-quarters of it; the last quarter, unseen by the counts, fits the curve.  The model holds the words
+quarters of it (a text under several labels is toxic if one of them says so); the last quarter, unseen by the counts, fits the curve.  The model holds the words
 of that sample that differ, alone or in a pair, and what the corpus says of them; all other words have
 the same probability in both classes, so of them only the number of pairs is needed.  Pair counts are hashed to 2**PAIR_BITS cells.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traderisk.llm.common import filter_rows, map_batches, texts_of, written
@@ -69,6 +69,8 @@ def _cell(pairs: np.ndarray) -> np.ndarray:
 
 def _at(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Index of each word in the sorted vocabulary; its length for a word that is not there."""
+    if not len(vocabulary):
+        return np.zeros(len(words), np.int64)
     at = np.searchsorted(vocabulary, words)
     return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == words, at, len(vocabulary))
 
@@ -92,13 +94,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(2 + c, *np.unique(p[label[t] == c], return_counts=True))
 
 
-def _telling(batches: Iterator[pa.RecordBatch], telling: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Context and word of the pairs in telling cells."""
+def _telling(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Context and word of the pairs in telling cells (sorted)."""
     for batch in batches:
         words, before, _, _ = _words(texts_of(batch))
         pair = _pair(before, words)
         _, first = np.unique(pair, return_index=True)
-        first = first[telling[_cell(pair[first])]]
+        first = first[_at(cells, _cell(pair[first])) < len(cells)]
         yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64))], names=["before", "word"])
 
 
@@ -168,13 +170,16 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
                     held = []
                 at = bucket
                 held.append(_unpacked(bucket, size, packed))
+                # Copies from other tasks are merged away as they come.
+                if len(held) > 1 and sum(len(p) for p, _ in held[1:]) > max(HELD_PAIRS, len(held[0][0])):
+                    held = [_merged(held)]
         if held:
             n += np.bincount(_merged(held)[1], minlength=len(n))
         word = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n[word])], names=["word", "n"])
     packed = map_batches(docs.select("text"), distinct_pairs, "bucket int, n int, packed binary")
-    table = (map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), counted, "word long, n long")
-             .groupBy("word").agg(F.sum("n").alias("n")).toArrow())  # a row per word of the vocabulary, one for all others
+    table = _collected(map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), counted, "word long, n long")
+                       .groupBy("word").agg(F.sum("n").alias("n")), sent)  # a row per word of the vocabulary, one for all others
     out = np.zeros(len(vocabulary) + 1, np.int64)
     out[table.column("word").to_numpy()] = table.column("n").to_numpy()
     return out[:-1], int(out.sum())
@@ -186,52 +191,80 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return found, np.concatenate([w for _, w in parts])[first]
 
 
+def _collected(df: DataFrame, sent=None) -> pa.Table:
+    """A small result at the driver; the broadcast that its tasks read is given back."""
+    table = df.toArrow()
+    if sent is not None:
+        sent.destroy()
+    return table
+
+
+def _differs(n: Column, toxic: Column, share: dict) -> Column:
+    """Whether a class count differs by more than chance would let it: ``n`` in both classes, ``toxic`` of them in one."""
+    expected = n * F.lit(share[TOXIC])
+    return F.abs(toxic - expected) > SIGNIFICANT * F.sqrt(F.greatest(expected, F.lit(1.0)) * F.lit(share[ORDINARY]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+    """The model: the telling pair cells and the words they need, as sorted arrays, and the curve.
+
+    Counts stay in Spark; the driver sees totals, and of cells and words only those that differ.
+    """
     spark = docs.sparkSession
     known = labels.where((fold() != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "toxic").limit(train_rows)  # the sample: at most train_rows rows of two numbers
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
-                     .select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) == 0).alias("curve"))
-                     .dropDuplicates(["text"]), "toxicity-sample")
+    curve = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) == 0
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic", curve.alias("curve"))
+                     .groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("curve").alias("curve")), "toxicity-sample")
     shares = {(r["curve"], r["toxic"]): r["n"] for r in sample.groupBy("curve", "toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     model = {"prior": sum(n for (_, t), n in shares.items() if t == 1) / total if total else 0.0, "curve": None}
     if not (shares.get((False, 1)) and shares.get((False, 0))):
         return model
     learned = sample.where("not curve").select("text", "toxic")
-    table = map_batches(learned, _classes, SCHEMA).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()  # words and pairs of the sample
-    kind, key, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
-    if not ((kind == ORDINARY).any() and (kind == TOXIC).any()):  # a class without any word
+    of = [F.sum(F.when(F.col("kind") % 2 == c, F.col("n")).otherwise(0)).alias(name) for c, name in ((ORDINARY, "ordinary"), (TOXIC, "toxic"))]
+    counts = written(map_batches(learned, _classes, SCHEMA).groupBy((F.col("kind") >= 2).alias("pair"), "key").agg(*of), "toxicity-counts")
+    start = F.col("key") == int(START)
+    sums = {r["pair"]: r for r in counts.where(~(start & ~F.col("pair"))).groupBy("pair").agg(
+        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"),
+        F.count_if(F.col("ordinary") > 0).alias("words0"), F.count_if(F.col("toxic") > 0).alias("words1")).collect()}
+    if False not in sums:  # no text with a word
+        return model
+    both = F.col("ordinary") + F.col("toxic")
+    share = {pair: {ORDINARY: r["ordinary"] / max(1, r["ordinary"] + r["toxic"]), TOXIC: r["toxic"] / max(1, r["ordinary"] + r["toxic"])}
+             for pair, r in sums.items()}
+    size = np.array([sums[False]["ordinary"], sums[False]["toxic"]], float)
+    if not size.all():  # a class without any word
         return model
-    known = np.unique(key[kind < 2].view(np.uint64))
-    words, pairs = np.zeros((2, len(known))), np.zeros((2, 1 << PAIR_BITS))
-    for c in (ORDINARY, TOXIC):
-        words[c][_at(known, key[kind == c].view(np.uint64))] = n[kind == c]
-        pairs[c][key[kind == 2 + c]] = n[kind == 2 + c]
-    size = words[:, known != START].sum(axis=1)
-    discounted = np.minimum(words[:, known != START], DISCOUNT).sum() / size.sum()
-    telling, own = _differs(pairs, pairs.sum(axis=1)), _differs(words, size)
+    discounted = DISCOUNT * (sums[False]["words0"] + sums[False]["words1"]) / size.sum()
+    # Every word ends a pair, so there are pair counts where there are word counts.
+    cells = _collected(counts.where(F.col("pair") & _differs(both, F.col("toxic"), share[True])).select("key", "ordinary", "toxic").orderBy("key"))
     # Only these words tell the classes apart: those that differ themselves, or in a pair, and the contexts of such pairs.
-    masks = spark.sparkContext.broadcast(telling)
-    table = map_batches(learned.select("text"), lambda batches: _telling(batches, masks.value), "before long, word long").distinct().toArrow()  # pairs of the sample
-    used = np.concatenate([known[own], *(table.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))])
-    vocabulary = np.append(np.unique(used[used != START]), START)
-    vocabulary.sort()
-    words, own = words[:, _at(known, vocabulary)], own[_at(known, vocabulary)]
+    masks = spark.sparkContext.broadcast(cells.column("key").to_numpy())
+    words = counts.where(~F.col("pair")).select("key", "ordinary", "toxic", _differs(both, F.col("toxic"), share[False]).alias("own"))
+    pairs = map_batches(learned.select("text"), lambda batches: _telling(batches, masks.value), "before long, word long").distinct()
+    used = (words.where("own").select("key").union(pairs.select("before")).union(pairs.select("word"))
+            .union(spark.createDataFrame([(int(START),)], "key long")).distinct())
+    found = _collected(used.join(words, "key", "left").select("key", "ordinary", "toxic", "own"), masks)
+    vocabulary = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary = vocabulary[order]
+    own = found.column("own").fill_null(False).to_numpy()[order]
+    words = np.stack([found.column(c).fill_null(0).to_numpy()[order] for c in ("ordinary", "toxic")]).astype(float)
     keys = spark.sparkContext.broadcast(vocabulary)
-    table = (map_batches(learned, lambda batches: _followers(batches, keys.value), "toxic int, at long, pair long").distinct()
-             .groupBy("toxic", "at").agg(F.count("*").alias("n")).toArrow())  # words of the vocabulary
+    table = _collected(map_batches(learned, lambda batches: _followers(batches, keys.value), "toxic int, at long, pair long").distinct()
+                       .groupBy("toxic", "at").agg(F.count("*").alias("n")), keys)  # words of the vocabulary
     label, at, different = (table.column(c).to_numpy() for c in ("toxic", "at", "n"))
     contexts, total = continuations(docs, vocabulary)
-    model |= {"vocabulary": vocabulary, "shared": contexts / max(1, total), "telling": telling}
+    model |= {"vocabulary": vocabulary, "shared": contexts / max(1, total), "cells": cells.column("key").to_numpy().copy()}
     back = discounted * model["shared"]
-    for c in (ORDINARY, TOXIC):
+    for c, name in ((ORDINARY, "ordinary"), (TOXIC, "toxic")):
         followers = np.zeros(len(vocabulary))
         followers[at[label == c]] = different[label == c]
         alone = np.where(own, np.maximum(words[c] - DISCOUNT, 0) / size[c], np.maximum(words.sum(axis=0) - DISCOUNT, 0) / size.sum()) + back
         left = np.clip(DISCOUNT * followers / np.maximum(words[c], 1), 0.05, 1.0)  # a context's mass for the backoff
         model[c] = {"alone": alone.astype(np.float32), "context": np.maximum(words[c], 1).astype(np.float32),
-                    "left": left.astype(np.float32), "pairs": pairs[c].astype(np.float32)}
+                    "left": left.astype(np.float32), "pairs": np.append(cells.column(name).to_numpy(), 0).astype(np.float32)}
     sent = spark.sparkContext.broadcast(model)
 
     def evidence_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,19 +272,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
             mean, size = evidence(texts_of(batch), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(mean), pa.array(size)], names=["toxic", "mean", "size"])
     held = sample.where("curve") if shares.get((True, 1)) and shares.get((True, 0)) else sample
-    rows = map_batches(held.select("text", "toxic"), evidence_of, "toxic int, mean double, size long").toArrow()  # at most train_rows rows
+    rows = _collected(map_batches(held.select("text", "toxic"), evidence_of, "toxic int, mean double, size long"), sent)  # at most train_rows rows
     y, mean, size = (rows.column(c).to_numpy() for c in ("toxic", "mean", "size"))
     model["curve"] = _logistic(_features(mean, size)[size > 0], y[size > 0])
     return model
 
 
-def _differs(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Cells whose two class counts differ by more than chance would let them."""
-    share = size / max(1.0, size.sum())
-    expected = counts.sum(axis=0) * share[TOXIC]
-    return np.abs(counts[TOXIC] - expected) > SIGNIFICANT * np.sqrt(np.maximum(expected, 1) * share[ORDINARY])
-
-
 def evidence(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(length-normalised log-likelihood ratio, number of distinct word pairs) per text."""
     words, before, text, _ = _words(texts)
@@ -261,12 +287,13 @@ def evidence(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     known = (w < len(model["vocabulary"])) & (v < len(model["vocabulary"]))
     single = w < len(model["vocabulary"])  # a word beyond the vocabulary is as likely in both classes
     w, v, p, t = w[single], np.where(known, v, 0)[single], p[single], t[single]
-    telling = model["telling"][p] & known[single]
+    cell = _at(model["cells"], p)
+    telling = (cell < len(model["cells"])) & known[single]
     ratio = np.zeros(len(w))
     for c, sign in ((TOXIC, 1.0), (ORDINARY, -1.0)):
         m = model[c]
         alone = m["alone"][w]
-        pair = np.maximum(m["pairs"][p] - DISCOUNT, 0) / m["context"][v] + m["left"][v] * alone
+        pair = np.maximum(m["pairs"][cell] - DISCOUNT, 0) / m["context"][v] + m["left"][v] * alone
         ratio += sign * np.log(np.where(telling, pair, alone))
     return np.bincount(t, ratio, minlength=len(texts)) / np.maximum(size, 1), size.astype(np.int64)
 
@@ -304,7 +331,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts_of(batch), sent.value))], names=["doc_id", "score"])
-    scored = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    scored = written(map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double"), "toxicity-scores")
+    sent.destroy()
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
