@@ -191,7 +191,34 @@ def test_quality_of_odd_rows_and_boilerplate(spark, odd, empty):
     line = " ".join(f"same{i}" for i in range(60))
     rows = [(i, f"{line}\nown {i}", "h") for i in range(30)] + [(99, line, "other")] + [(200 + i, line + " copy", "h2") for i in range(30)]
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not any(kept[i] for i in range(30)) and kept[99] and all(kept[200 + i] for i in range(30))
+    # Documents are counted, so thirty copies on one host are boilerplate like thirty pages around one line.
+    assert not any(kept[i] for i in range(30)) and kept[99] and not any(kept[200 + i] for i in range(30))
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_quality_rejects_depleted_documents_as_its_sql(spark, monkeypatch, few):
+    """A made table with hosts, boilerplate of all shares, repeats and copies, joined by broadcast and by salt."""
+    import sys
+    import duckdb
+    sys.path.insert(0, "tools")
+    from oracle_check import compare
+    monkeypatch.setattr(quality_rules, "FEW_LINES", few)
+    rng = np.random.default_rng(6)
+    shared = [" ".join(f"common{j}w{k}" for k in range(12)) for j in range(8)]
+    rows = []
+    for i in range(400):
+        own = [" ".join(f"own{i}x{rng.integers(10**6)}" for _ in range(12)) for _ in range(int(rng.integers(1, 9)))]
+        lines = own + [shared[j].upper() if i % 2 else shared[j] + " !" for j in rng.integers(0, 8, int(rng.integers(0, 9)))]
+        rng.shuffle(lines)
+        rows.append((i if i % 50 else None, "\n".join(lines) if i % 97 else None, [None, "a", "b", "a"][i % 4]))
+    rows += [(1000 + i, "\n".join(shared[:5]), "copies") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = quality_rules.quality(docs).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    assert compare(got, con.sql(quality_rules.SQL).df()).startswith("OK")
+    depleted = (~got["kept"] & ~got["base_failed"]).sum()
+    assert 50 < depleted < 380 and got["kept"].sum() > 50
 
 
 def test_packing(odd, empty):

@@ -2,9 +2,15 @@
 
 Base rules look at one text.  The method looks across documents: normalised lines (lower case,
 letters and digits, single spaces) are hashed, and a line is boilerplate of its host (the
-``source``) when more than ``line_limit`` distinct texts of that host have it.  Such lines are
-taken out; a document that loses more than ``max_removed`` per cent of its line characters is
-depleted and not kept.  Exact copies of a text count once, so copying alone depletes nothing.
+``source``) when more than ``line_limit`` distinct documents of that host have it (a document
+that repeats it counts once, copies of a document count each).  Such lines are taken out; a
+document that loses more than ``max_removed`` per cent of its line characters is depleted and not
+kept.
+
+Documents per line are counted map-side first, so a line that all documents have is one small row a
+task.  The lines of the documents meet the boilerplate lines in a broadcast join while those are
+few (``FEW_LINES``, checked), else in a join salted by document: either way no task gets all
+documents of one line.
 
 Rows: a null text is the empty text (no words: the base rules fail it); a null source is a host
 like any other; repeated rows and ids get a result each; an empty table gives no rows.
@@ -19,6 +25,8 @@ from traderisk.llm.common import written
 
 LINE_LIMIT = 20
 MAX_REMOVED = 50
+FEW_LINES = 500_000  # boilerplate lines (a number each) that are broadcast
+SALTS = 64
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -54,7 +62,7 @@ def without(text: Column, characters: str) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, host, content (hash of the text), lines (hash and length of each normalised line), and the counts."""
+    """doc_id, host, lines (hash and length of each normalised line), and the counts."""
     texts = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     split = texts.select(
         "doc_id", "host", "text",
@@ -62,7 +70,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     plain = F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
     return split.select(
-        "doc_id", "host", F.xxhash64("text").alias("content"),
+        "doc_id", "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(without(F.col("text"), " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(without(F.col("text"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
@@ -74,14 +82,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, max_removed: int = MAX_REMOVED) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, line_chars, removed_chars."""
     base = written(base_counts(docs).withColumn("row", F.monotonically_increasing_id()), "quality-base")
-    lines = base.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", "x.*")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))  # a null host is one, and no key is null
     # Hosts are numbered by hash only to make narrow keys; the line's own hash spreads a hot host.
-    keyed = lines.select("row", "content", F.xxhash64(host, "line").alias("key"), "chars")
-    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("key")
-    found = written(keyed.join(often, "key"), "quality-lines")
-    hot = found.select("key", "content").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("key")
-    removed = found.join(hot, "key").groupBy("row").agg(F.sum("chars").cast("long").alias("removed_chars"))
+    keyed = base.select("row", F.transform("lines", lambda x: F.struct(F.xxhash64(host, x["line"]).alias("key"), x["chars"].alias("chars"))).alias("lines"))
+    once = keyed.select(F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    often = written(once.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("key"), "quality-lines")
+    lines = keyed.select("row", F.explode("lines").alias("x")).select("row", "x.*")
+    if often.count() <= FEW_LINES:
+        found = lines.join(F.broadcast(often), "key")
+    else:
+        salted = often.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        found = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    removed = found.groupBy("row").agg(F.sum("chars").cast("long").alias("removed_chars"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     return (base.withColumn("line_chars", total).drop("lines").join(removed, "row", "left")
@@ -99,8 +111,8 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) A
 p AS (SELECT r, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) AS t(o) WHERE n >= 2 GROUP BY r),
 l AS (SELECT r, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
 x AS (SELECT r, trim(regexp_replace(lower(unnest(ls)), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM l),
-y AS (SELECT d.r, d.source, d.text, x.line FROM x JOIN d USING (r) WHERE x.line <> ''),
-h AS (SELECT source, line FROM y GROUP BY source, line HAVING count(DISTINCT text) > 20),
+y AS (SELECT d.r, d.source, x.line FROM x JOIN d USING (r) WHERE x.line <> ''),
+h AS (SELECT source, line FROM y GROUP BY source, line HAVING count(DISTINCT r) > 20),
 z AS (SELECT y.r, sum(length(y.line)) AS line_chars, sum(CASE WHEN h.line IS NOT NULL THEN length(y.line) ELSE 0 END) AS removed_chars
       FROM y LEFT JOIN h ON y.line = h.line AND y.source IS NOT DISTINCT FROM h.source GROUP BY y.r),
 b AS (SELECT d.doc_id, len(w.ws)::BIGINT AS n_words,
