@@ -6,11 +6,14 @@ character n-grams (three to five) of host and path, trained from a small labelle
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there
 up to ``?``, ``#`` or the end.  A null url, or one without ``://``, has both empty and is judged
-by the model on empty features, its intercept.  Repeated urls are judged alike.
+by the model on empty features, its intercept.  Repeated urls are judged alike.  Urls of any length
+are read whole; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -19,30 +22,68 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
+RIDGE = 0.001
 SEPARATOR = "\x00"  # between host and path; in no url
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
-# A small labelled table: words that unwanted (1) and wanted (0) sites of the public web carry in
-# their names, and ordinary invented site names.  Each is met as a host with usual prefixes.
-UNWANTED = ["free-bets", "best-bets", "betting-tips", "cheap-pills", "online-pills", "pharma-pills", "casino-win", "casino-bonus",
-            "live-casino", "poker-win", "slots-win", "adult-x", "adult-cams", "xxx-adult", "spam-farm", "link-farm", "seo-farm",
-            "ads-track", "click-track", "track-ads", "ad-banner", "free-money", "fast-loans", "payday-loans", "win-prizes",
-            "lottery-win", "cheap-watches", "replica-bags", "hot-singles", "crypto-double"]
-WANTED = ["library", "university", "news", "weather", "museum", "science", "gardening", "recipes", "history", "travel", "health",
-          "council", "theatre", "language", "music", "school", "archive", "journal", "software", "maps", "thonand", "ertion",
-          "thethe", "andthe", "reerin", "tionan", "hether", "nderea", "lyness", "estone", "blether", "shouse", "whitend", "onthes",
-          "therion", "ouring", "hatten", "inghar", "stand", "orthen"]
-PREFIXES = ("", "www.", "blog.", "m.")
-SUFFIXES = ("com", "org", "net")
-LANGS = ("en", "de", "fr", "es")
+# The labelled table is an input of ``judge``; this one is made by rule from plain lists: the words that
+# unwanted sites of the public web trade in, words that go with any shop, wanted or not, and words of
+# ordinary sites.  No name of any table to be judged is taken into it.
+TOPICS = ["casino", "poker", "slots", "roulette", "blackjack", "betting", "bets", "bookie", "jackpot", "lottery", "sweepstakes", "pills",
+          "viagra", "steroids", "diet", "adult", "xxx", "porn", "cams", "escorts", "hookup", "singles", "payday", "loans", "forex",
+          "replica", "rolex", "spam", "ads", "adserver", "popup", "banner", "clickbait", "tracker", "malware", "warez", "keygen", "cracked",
+          "torrents", "doubler", "giveaway", "backlinks"]
+COMMON = ["best", "free", "cheap", "online", "live", "win", "big", "top", "easy", "fast", "lucky", "royal", "vip", "club", "zone", "world",
+          "hub", "shop", "store", "deals", "now", "today", "farm", "x", "24", "365", "track", "pro", "max", "king", "star", "city", "plus"]
+ORDINARY = ["library", "university", "news", "weather", "museum", "science", "garden", "recipes", "history", "travel", "health", "council",
+            "theatre", "language", "music", "school", "archive", "journal", "software", "maps", "river", "forest", "village", "church",
+            "football", "cycling", "bakery", "hotel", "hospital", "physics", "biology", "poetry", "radio", "gazette", "railway", "harbour",
+            "insurance", "lawyers", "architects", "carpenter", "dentist", "vets", "coffee", "wine", "books", "films", "gallery", "orchestra",
+            "students", "research", "energy", "water", "forum", "wiki", "docs", "blog", "photos", "kitchen", "furniture", "bikes", "cars",
+            "boats", "farming", "teachers", "parents", "camping", "mountain", "island", "beach", "castle"]
+ONSETS = ["b", "br", "c", "d", "dr", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "pr", "r", "s", "st", "t", "tr", "v", "w", "z", ""]
+VOWELS = ["a", "e", "i", "o", "u", "ai", "ea", "ou"]
+CODAS = ["", "", "n", "r", "s", "l", "t", "nd", "rt", "ng", "m", "ck"]
+PREFIXES = ("", "", "www.", "blog.", "m.", "shop.", "en.", "news.")
+ENDINGS = ("com", "org", "net", "info", "io", "eu", "edu", "co.uk", "de", "fr", "es", "biz", "xyz", "example.com", "example.org", "example.net")
+PATHS = ("", "/", "/{n}", "/en/{n}", "/de/{n}", "/fr/{n}", "/es/{n}", "/about", "/article/{n}", "/index.html", "/p/{n}?id={n}", "/a/b")
+UNWANTED_SITES, WANTED_SITES, URLS_PER_SITE = 1500, 4000, 1
+
+
+def site_names(unwanted: int = UNWANTED_SITES, wanted: int = WANTED_SITES, seed: int = 3) -> list[tuple[str, float]]:
+    """(site name, label: 1 unwanted), drawn with a fixed seed; names of either kind are one to three words."""
+    draw = random.Random(seed)
+
+    def invented() -> str:
+        return "".join(draw.choice(ONSETS) + draw.choice(VOWELS) + draw.choice(CODAS) for _ in range(draw.randint(2, 4)))
+
+    def joined(words: list[str]) -> str:
+        draw.shuffle(words)
+        return draw.choice(["-", "-", ""]).join(words)
+    out = [(joined([topic, *draw.choice([[], [draw.choice(COMMON)], [draw.choice(COMMON)], [draw.choice(TOPICS)]])]), 1.0)
+           for topic in (TOPICS[i % len(TOPICS)] for i in range(unwanted))]
+    kinds = [lambda: invented(), lambda: invented(), lambda: joined([draw.choice(ORDINARY), draw.choice(COMMON)]),
+             lambda: joined([invented(), draw.choice(ORDINARY)]), lambda: joined([invented(), draw.choice(COMMON)]),
+             lambda: joined([draw.choice(ORDINARY), draw.choice(ORDINARY)]), lambda: draw.choice(ORDINARY)]
+    return out + [(kinds[i % len(kinds)](), 0.0) for i in range(wanted)]
+
+
+def labelled_rows(names: list[tuple[str, float]], seed: int = 4) -> list[tuple[str, float]]:
+    """(url, label): each site under a few hosts and paths."""
+    draw = random.Random(seed)
+    rows = []
+    for name, label in names:
+        for _ in range(URLS_PER_SITE):
+            path = draw.choice(PATHS)
+            path = path.replace("{n}", str(draw.randint(1, 999)))
+            rows.append((f"{draw.choice(['http', 'https'])}://{draw.choice(PREFIXES)}{name}.{draw.choice(ENDINGS)}{path}", label))
+    return rows
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): every site name under every usual prefix, with endings and paths in turn."""
-    rows = [(f"https://{p}{name}.example.{SUFFIXES[(i + j) % 3]}/{LANGS[(i + j) % 4]}/{(i * 7 + j * 13) % 997}", label)
-            for label, names in ((1.0, UNWANTED), (0.0, WANTED)) for i, name in enumerate(names) for j, p in enumerate(PREFIXES)]
-    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
+    """The labelled table (url, label) of this module."""
+    return spark.createDataFrame(labelled_rows(site_names()), "url string, label double").coalesce(1)
 
 
 def host_of(url: Column) -> Column:
@@ -66,17 +107,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """The character n-grams of host and path, in marks that show their ends."""
+    """The character n-grams of host and path, in marks that show their ends.
+
+    Taken from an array of characters: a substring would be searched from the text's start each time.
+    """
     text = F.concat(F.lit("^"), host, F.lit(SEPARATOR), path, F.lit("$"))
-    return F.flatten(F.transform(F.array(text), lambda t: F.concat(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substr(t, i, F.lit(n))) for n in GRAMS])))
+
+    def of(chars: Column, n: int) -> Column:
+        # One parameter: a second one would be taken for the place in the array.
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))),
+                           lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)]))
+    return F.flatten(F.transform(F.array(F.split(text, "")), lambda chars: F.concat(*[of(chars, n) for n in GRAMS])))
 
 
-def train(labelled: DataFrame) -> PipelineModel:
-    """Fit on (url, label); the table is small by contract."""
+def train(labelled: DataFrame, ridge: float = RIDGE) -> PipelineModel:
+    """Fit on (url, label); the table is small by contract.  Both labels weigh the same in sum."""
     rows = labelled.select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"), "label")
+    share = rows.agg(F.avg("label")).first()[0] or 0.0
+    weight = F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
     return Pipeline(stages=[HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features"),
-                            LogisticRegression(regParam=0.01, standardization=False, maxIter=50)]).fit(rows)
+                            LogisticRegression(regParam=ridge, standardization=False, maxIter=100, weightCol="weight")]).fit(rows.withColumn("weight", weight))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
