@@ -1,5 +1,9 @@
 """Registered queries, part two: history, profiles, scoring, dashboards,
-look-ups, roll-ups, the model and the stream."""
+look-ups, roll-ups, the model and the stream.
+
+The oracle SQL states every threshold, point, default and text itself, so a wrong
+constant in the library shows as a mismatch.
+"""
 
 from __future__ import annotations
 
@@ -74,8 +78,8 @@ pg AS (
 ov AS (SELECT CAST(SUM(invoice_value_usd) AS DOUBLE) / COUNT(invoice_value_usd) AS overall FROM shipments),
 hist AS (
   SELECT h0.*, pc.primary_country, pg.primary_category,
-         CASE WHEN avg_invoice_value < {d(K.TREND_DECLINING_BELOW)} * ov.overall THEN 'declining'
-              WHEN avg_invoice_value > {d(K.TREND_GROWING_ABOVE)} * ov.overall THEN 'growing'
+         CASE WHEN avg_invoice_value < {d(0.7)} * ov.overall THEN 'declining'
+              WHEN avg_invoice_value > {d(1.3)} * ov.overall THEN 'growing'
               ELSE 'stable' END AS value_trend
   FROM h0 LEFT JOIN pc USING (buyer_id) LEFT JOIN pg USING (buyer_id) CROSS JOIN ov
 )"""
@@ -106,79 +110,79 @@ df AS (
   SELECT d.deal_id, d.deal_ts, d.buyer_id, {strip_upper_sql('d.buyer_country')} AS buyer_country, d.hs_code,
          d.product_category, coalesce(d.payment_terms, 'credit_30') AS payment_terms,
          CAST(d.invoice_value_usd AS DOUBLE) AS invoice_value_usd,
-         coalesce(bp.buyer_avg_delay, {d(K.DEFAULT_DELAY_DAYS)}) AS payment_delay_days,
-         coalesce(cp.avg_stability, {d(K.DEFAULT_STABILITY)}) AS political_stability_score,
-         coalesce(cp.avg_volatility, {d(K.DEFAULT_VOLATILITY)}) AS currency_volatility_index,
+         coalesce(bp.buyer_avg_delay, {d(30.0)}) AS payment_delay_days,
+         coalesce(cp.avg_stability, {d(0.6)}) AS political_stability_score,
+         coalesce(cp.avg_volatility, {d(0.3)}) AS currency_volatility_index,
          CAST(coalesce(cp.max_sanctions, 0) AS INTEGER) AS trade_sanctions_flag,
          CAST(coalesce(bp.buyer_total_orders, 0) AS BIGINT) AS buyer_total_orders,
-         coalesce(bp.buyer_total_value, {d(K.DEFAULT_TOTAL_VALUE)}) AS buyer_total_value,
-         coalesce(bp.buyer_avg_delay, {d(K.DEFAULT_DELAY_DAYS)}) AS buyer_avg_delay,
-         coalesce(bp.buyer_dispute_rate, {d(K.DEFAULT_DISPUTE_RATE)}) AS buyer_dispute_rate,
+         coalesce(bp.buyer_total_value, {d(0.0)}) AS buyer_total_value,
+         coalesce(bp.buyer_avg_delay, {d(30.0)}) AS buyer_avg_delay,
+         coalesce(bp.buyer_dispute_rate, {d(0.05)}) AS buyer_dispute_rate,
          coalesce(bp.buyer_avg_invoice, CAST(d.invoice_value_usd AS DOUBLE)) AS buyer_avg_invoice,
-         coalesce(bp.buyer_paid_in_full_rate, {d(K.DEFAULT_PAID_IN_FULL_RATE)}) AS buyer_paid_in_full_rate,
+         coalesce(bp.buyer_paid_in_full_rate, {d(0.9)}) AS buyer_paid_in_full_rate,
          CAST(1 AS BIGINT) AS buyer_order_rank
   FROM deals d
   LEFT JOIN bp ON d.buyer_id = bp.buyer_id
   LEFT JOIN cp ON {strip_upper_sql('d.buyer_country')} = cp.country
 )"""
 
-INV_RULE = (f"invoice_value_usd > {d(float(K.RULE_INVOICE_MULTIPLE))} * buyer_avg_invoice"
+INV_RULE = (f"invoice_value_usd > {d(float(3))} * buyer_avg_invoice"
             " AND buyer_avg_invoice > 0")
 
 RULE_SCORE_SQL = f"""CAST(least(
-    (CASE WHEN payment_delay_days > {K.RULE_DELAY_HIGH} THEN {K.RULE_DELAY_HIGH_POINTS}
-          WHEN payment_delay_days > {K.RULE_DELAY_MID} THEN {K.RULE_DELAY_MID_POINTS} ELSE 0 END)
-  + (CASE WHEN buyer_dispute_rate > {d(K.RULE_DISPUTE_HIGH)} THEN {K.RULE_DISPUTE_HIGH_POINTS}
-          WHEN buyer_dispute_rate > {d(K.RULE_DISPUTE_MID)} THEN {K.RULE_DISPUTE_MID_POINTS} ELSE 0 END)
-  + (CASE WHEN political_stability_score < {d(K.RULE_STABILITY_LOW)} THEN {K.RULE_STABILITY_LOW_POINTS}
-          WHEN political_stability_score < {d(K.RULE_STABILITY_MID)} THEN {K.RULE_STABILITY_MID_POINTS} ELSE 0 END)
-  + (CASE WHEN trade_sanctions_flag = 1 THEN {K.RULE_SANCTIONS_POINTS} ELSE 0 END)
-  + (CASE WHEN buyer_paid_in_full_rate < {d(K.RULE_PAID_LOW)} THEN {K.RULE_PAID_LOW_POINTS} ELSE 0 END)
-  + (CASE WHEN {INV_RULE} THEN {K.RULE_INVOICE_POINTS} ELSE 0 END), {K.RULE_SCORE_CAP}) AS DOUBLE)"""
+    (CASE WHEN payment_delay_days > 60 THEN 30
+          WHEN payment_delay_days > 30 THEN 10 ELSE 0 END)
+  + (CASE WHEN buyer_dispute_rate > {d(0.1)} THEN 25
+          WHEN buyer_dispute_rate > {d(0.05)} THEN 10 ELSE 0 END)
+  + (CASE WHEN political_stability_score < {d(0.3)} THEN 20
+          WHEN political_stability_score < {d(0.5)} THEN 10 ELSE 0 END)
+  + (CASE WHEN trade_sanctions_flag = 1 THEN 15 ELSE 0 END)
+  + (CASE WHEN buyer_paid_in_full_rate < {d(0.7)} THEN 15 ELSE 0 END)
+  + (CASE WHEN {INV_RULE} THEN 10 ELSE 0 END), 100) AS DOUBLE)"""
 
 RULE_REASONS_SQL = f"""coalesce(nullif(concat_ws(' | ',
-    CASE WHEN payment_delay_days > {K.RULE_DELAY_HIGH} THEN {fmt_int_sql(K.TEXT_RULE_DELAY, 'payment_delay_days')} END,
-    CASE WHEN buyer_dispute_rate > {d(K.RULE_DISPUTE_HIGH)} THEN {fmt_pct1_sql(K.TEXT_RULE_DISPUTE, 'buyer_dispute_rate')} END,
-    CASE WHEN political_stability_score < {d(K.RULE_STABILITY_LOW)} THEN {sql_str(K.TEXT_RULE_STABILITY)} END,
-    CASE WHEN trade_sanctions_flag = 1 THEN {sql_str(K.TEXT_RULE_SANCTIONS)} END,
-    CASE WHEN buyer_paid_in_full_rate < {d(K.RULE_PAID_LOW)} THEN {fmt_pct1_sql(K.TEXT_RULE_PAID, 'buyer_paid_in_full_rate')} END,
-    CASE WHEN {INV_RULE} THEN {fmt_int_sql(K.TEXT_RULE_INVOICE, 'invoice_value_usd')} END
-  ), ''), {sql_str(K.TEXT_NO_INDICATORS)})"""
+    CASE WHEN payment_delay_days > 60 THEN {fmt_int_sql('High average payment delay (%d days)', 'payment_delay_days')} END,
+    CASE WHEN buyer_dispute_rate > {d(0.1)} THEN {fmt_pct1_sql('Elevated dispute rate (%.1f%%)', 'buyer_dispute_rate')} END,
+    CASE WHEN political_stability_score < {d(0.3)} THEN {sql_str("Low political stability in buyer's country")} END,
+    CASE WHEN trade_sanctions_flag = 1 THEN {sql_str("Trade sanctions active on buyer's country")} END,
+    CASE WHEN buyer_paid_in_full_rate < {d(0.7)} THEN {fmt_pct1_sql('Low payment completion rate (%.1f%%)', 'buyer_paid_in_full_rate')} END,
+    CASE WHEN {INV_RULE} THEN {fmt_int_sql("Invoice value ($%,d) is 3x buyer's average — verify capacity", 'invoice_value_usd')} END
+  ), ''), {sql_str('No significant risk indicators found')})"""
 
 
 def model_reasons_sql(variant: str) -> str:
     if variant == "file":
-        new_text = K.TEXT_NEW_BUYER
-        delay = (f"CASE WHEN payment_delay_days > {K.REASON_DELAY_HIGH} THEN {fmt_int_sql(K.TEXT_DELAY_ABOVE, 'payment_delay_days')}"
-                 f" WHEN payment_delay_days > {K.REASON_DELAY_MID} THEN {fmt_int_sql(K.TEXT_DELAY_MODERATE, 'payment_delay_days')} END")
+        new_text = 'New buyer — no prior transaction history available'
+        delay = (f"CASE WHEN payment_delay_days > 60 THEN {fmt_int_sql('Average payment delay of %d days — above threshold', 'payment_delay_days')}"
+                 f" WHEN payment_delay_days > 30 THEN {fmt_int_sql('Moderate payment delay (%d days)', 'payment_delay_days')} END")
         sanctions = "trade_sanctions_flag = 1"
     else:
-        new_text = K.TEXT_NEW_BUYER_OFFLINE if variant == "offline" else K.TEXT_NEW_BUYER_WAREHOUSE
-        delay = (f"CASE WHEN payment_delay_days > {K.REASON_DELAY_HIGH} "
-                 f"THEN {fmt_int_sql(K.TEXT_DELAY_ABOVE, 'payment_delay_days')} END")
+        new_text = 'Fallback scoring — BigQuery unavailable, using country & value only' if variant == "offline" else 'Buyer not found in BigQuery — using country-level risk only'
+        delay = (f"CASE WHEN payment_delay_days > 60 "
+                 f"THEN {fmt_int_sql('Average payment delay of %d days — above threshold', 'payment_delay_days')} END")
         sanctions = "trade_sanctions_flag <> 0"
     items = [
         f"CASE WHEN buyer_total_orders = 0 THEN {sql_str(new_text)}"
-        f" WHEN buyer_total_orders < {K.REASON_LIMITED_ORDERS} THEN printf({sql_str(K.TEXT_LIMITED_HISTORY)}, buyer_total_orders)"
-        f" ELSE printf({sql_str(K.TEXT_ESTABLISHED)}, buyer_total_orders) END",
+        f" WHEN buyer_total_orders < 5 THEN printf({sql_str('Limited history — only %d prior orders')}, buyer_total_orders)"
+        f" ELSE printf({sql_str('Established buyer with %d prior orders')}, buyer_total_orders) END",
         delay,
-        f"CASE WHEN political_stability_score < {d(K.REASON_STABILITY_LOW)} THEN {fmt_2dp_sql(K.TEXT_STABILITY_LOW, 'political_stability_score')}"
-        f" WHEN political_stability_score > {d(K.REASON_STABILITY_HIGH)} THEN {fmt_2dp_sql(K.TEXT_STABILITY_HIGH, 'political_stability_score')} END",
-        f"CASE WHEN {sanctions} THEN {sql_str(K.TEXT_SANCTIONS)} END",
-        f"CASE WHEN buyer_dispute_rate > {d(K.REASON_DISPUTE_HIGH)} THEN {fmt_pct1_sql(K.TEXT_DISPUTE_HIGH, 'buyer_dispute_rate')} END",
+        f"CASE WHEN political_stability_score < {d(0.4)} THEN {fmt_2dp_sql('Country stability score is low (%.2f)', 'political_stability_score')}"
+        f" WHEN political_stability_score > {d(0.7)} THEN {fmt_2dp_sql('Relatively stable country (stability: %.2f)', 'political_stability_score')} END",
+        f"CASE WHEN {sanctions} THEN {sql_str('Destination country has active trade sanctions')} END",
+        f"CASE WHEN buyer_dispute_rate > {d(0.15)} THEN {fmt_pct1_sql('Buyer dispute rate is high (%.1f%%)', 'buyer_dispute_rate')} END",
     ]
     arr = "[" + ",\n     ".join(items) + "]"
-    return (f"array_to_string(list_slice(list_filter({arr}, lambda x: x IS NOT NULL), 1, {K.MAX_REASONS}), ' | ')")
+    return (f"array_to_string(list_slice(list_filter({arr}, lambda x: x IS NOT NULL), 1, 3), ' | ')")
 
 
 def band_sql(expr: str, kind: str) -> str:
     if kind == "category":
-        labels = (K.CATEGORY_LOW, K.CATEGORY_MEDIUM, K.CATEGORY_HIGH)
+        labels = ('Low Risk', 'Medium Risk', 'High Risk')
     elif kind == "terms":
-        labels = (K.TERMS_LOW, K.TERMS_MEDIUM, K.TERMS_HIGH)
+        labels = ('Credit terms acceptable (net 30/60)', 'Letter of Credit (LC) required', 'Advance payment only')
     else:
-        labels = (K.ACTION_LOW, K.ACTION_MEDIUM, K.ACTION_HIGH)
-    return (f"CASE WHEN {expr} < {K.LOW_BAND_UPPER} THEN {sql_str(labels[0])} WHEN {expr} < {K.MEDIUM_BAND_UPPER} "
+        labels = ('CREDIT OK', 'LC REQUIRED', 'ADVANCE PAYMENT')
+    return (f"CASE WHEN {expr} < 30 THEN {sql_str(labels[0])} WHEN {expr} < 60 "
             f"THEN {sql_str(labels[1])} WHEN {expr} IS NOT NULL THEN {sql_str(labels[2])} END")
 
 
@@ -208,10 +212,10 @@ scored AS (
          {half_up_sql('buyer_dispute_rate', 4)} AS dispute_rate,
          buyer_reliability_score,
          {half_up_sql('invoice_value_usd * (CAST(1 AS DOUBLE) - _score / CAST(100 AS DOUBLE))', 2)} AS suggested_credit_limit,
-         CASE WHEN currency_volatility > {d(K.VOLATILITY_BAND_HIGH)} THEN 'high'
+         CASE WHEN currency_volatility > {d(0.5)} THEN 'high'
               WHEN currency_volatility IS NOT NULL THEN 'normal' END AS volatility_band,
-         CASE WHEN buyer_reliability_score >= {K.RELIABILITY_BAND_HIGH} THEN 'good'
-              WHEN buyer_reliability_score >= {K.RELIABILITY_BAND_MID} THEN 'fair'
+         CASE WHEN buyer_reliability_score >= 70 THEN 'good'
+              WHEN buyer_reliability_score >= 40 THEN 'fair'
               WHEN buyer_reliability_score IS NOT NULL THEN 'poor' END AS reliability_band
   FROM rs2
 )"""
@@ -263,9 +267,9 @@ SELECT * FROM (
          COUNT(DISTINCT buyer_country) AS n_buyer_countries,
          MIN(shipment_date) AS first_shipment_date, MAX(shipment_date) AS last_shipment_date,
          COUNT(*) FILTER (WHERE {INCOMPLETE_SQL}) AS n_incomplete,
-         COUNT(*) FILTER (WHERE NOT {INCOMPLETE_SQL} AND coalesce({LABEL_SCORE_SQL} > {d(K.LABEL_THRESHOLD)}, false))
+         COUNT(*) FILTER (WHERE NOT {INCOMPLETE_SQL} AND coalesce({LABEL_SCORE_SQL} > {d(0.3)}, false))
            AS n_default_positive,
-         COUNT(*) FILTER (WHERE NOT {INCOMPLETE_SQL} AND NOT coalesce({LABEL_SCORE_SQL} > {d(K.LABEL_THRESHOLD)}, false))
+         COUNT(*) FILTER (WHERE NOT {INCOMPLETE_SQL} AND NOT coalesce({LABEL_SCORE_SQL} > {d(0.3)}, false))
            AS n_default_negative
   FROM shipments
 ) CROSS JOIN (
@@ -356,7 +360,7 @@ FROM (SELECT {strip_upper_sql('country')} AS country, month, composite_risk_inde
 WHERE t.country IN (
   SELECT country FROM (
     SELECT {strip_upper_sql('buyer_country')} AS country, SUM(invoice_value_usd) AS v FROM shipments
-    WHERE buyer_country IS NOT NULL GROUP BY 1 ORDER BY v DESC, country LIMIT {K.TOP_COUNTRIES}))
+    WHERE buyer_country IS NOT NULL GROUP BY 1 ORDER BY v DESC, country LIMIT 10))
 GROUP BY t.month, t.country""", (CTE_TREND,))
 def q_country_risk_over_time(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -387,15 +391,15 @@ def q_exposure_by_hs_section(spark, sf_dir):
 
 @query("country_trend_last12", f"""
 SELECT country, month, months_back, political_stability_score,
-       CASE WHEN political_stability_score > {d(K.STABILITY_BAND_HIGH)} THEN 'stable'
-            WHEN political_stability_score > {d(K.STABILITY_BAND_MID)} THEN 'moderate'
+       CASE WHEN political_stability_score > {d(0.6)} THEN 'stable'
+            WHEN political_stability_score > {d(0.3)} THEN 'moderate'
             WHEN political_stability_score IS NOT NULL THEN 'unstable' END AS stability_band,
        currency_volatility_index, trade_sanctions_flag, composite_risk_index
 FROM (SELECT {strip_upper_sql('country')} AS country, month, political_stability_score, currency_volatility_index,
              trade_sanctions_flag, composite_risk_index,
              ROW_NUMBER() OVER (PARTITION BY {strip_upper_sql('country')} ORDER BY month DESC) AS months_back
       FROM trend)
-WHERE months_back <= {K.TREND_LAST_MONTHS}""", (CTE_TREND,))
+WHERE months_back <= 12""", (CTE_TREND,))
 def q_country_trend_last12(spark, sf_dir):
     return D.country_trend_last12(tables(spark, sf_dir).country_risk)
 
@@ -436,7 +440,7 @@ SELECT * FROM (
          trade_sanctions_flag, composite_risk_index,
          ROW_NUMBER() OVER (PARTITION BY {strip_upper_sql('country')} ORDER BY month) AS month_index
   FROM trend)
-WHERE month_index <= {K.TREND_LOOKUP_MONTHS}""", (CTE_TREND,))
+WHERE month_index <= 100""", (CTE_TREND,))
 def q_country_trend_lookup(spark, sf_dir):
     return D.country_trend_lookup(tables(spark, sf_dir).country_risk)
 
@@ -449,9 +453,9 @@ SELECT *, CAST(n_low AS DOUBLE) / CAST(n_scored AS DOUBLE) AS share_low,
        CAST(n_medium AS DOUBLE) / CAST(n_scored AS DOUBLE) AS share_medium,
        CAST(n_high AS DOUBLE) / CAST(n_scored AS DOUBLE) AS share_high
 FROM (SELECT COUNT(*) AS n_scored,
-             COUNT(*) FILTER (WHERE risk_score < {K.LOW_BAND_UPPER}) AS n_low,
-             COUNT(*) FILTER (WHERE risk_score >= {K.LOW_BAND_UPPER} AND risk_score < {K.MEDIUM_BAND_UPPER}) AS n_medium,
-             COUNT(*) FILTER (WHERE risk_score >= {K.MEDIUM_BAND_UPPER}) AS n_high,
+             COUNT(*) FILTER (WHERE risk_score < 30) AS n_low,
+             COUNT(*) FILTER (WHERE risk_score >= 30 AND risk_score < 60) AS n_medium,
+             COUNT(*) FILTER (WHERE risk_score >= 60) AS n_high,
              {mean_scaled_sql('risk_score', 1)} AS avg_score,
              COUNT(DISTINCT buyer_country) AS n_countries
       FROM scored)""", SCORING_CTES)
@@ -462,7 +466,7 @@ def q_score_band_summary(spark, sf_dir):
 @query("recent_deals", f"""
 SELECT deal_id, deal_ts, buyer_country, hs_code, invoice_value_usd, risk_score, risk_category,
        recommended_payment_terms
-FROM scored ORDER BY deal_ts DESC, deal_id DESC LIMIT {K.RECENT_DEALS}""", SCORING_CTES)
+FROM scored ORDER BY deal_ts DESC, deal_id DESC LIMIT 30""", SCORING_CTES)
 def q_recent_deals(spark, sf_dir):
     return D.recent_deals(_scored(spark, sf_dir))
 
