@@ -1,0 +1,186 @@
+"""Operators over whole small tables against the libraries and plain scorers, and the pipeline on odd and empty tables."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+
+import corpus_pipeline
+from traderisk.llm import near_dedup, packing, pretokens, token_counts, toxicity
+from traderisk.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+def test_packed_pieces_are_the_librarys(spark, docs):
+    enc = pretokens.encoder(pretokens.tokenizer_path("byte_bpe_50k.json"))
+    want = []
+    for doc, text in zip(docs.doc_id, docs.text):
+        ids = enc.whole.encode(text or "", add_special_tokens=False).ids + [0]
+        ends = list(range(len(ids), 0, -2048))[::-1]
+        for piece, (start, end) in enumerate(zip([0, *ends], ends)):
+            want.append((doc, piece, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes())))
+    got = Q.QUERIES["op7_best_fit_packing"](spark, SF).toPandas()
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    got = got.sort_values(["sequence_id", "offset"])
+    before = got.groupby("sequence_id").length.cumsum() - got.length
+    assert (before == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 2048) * 1.01 + 1
+
+
+def test_packed_sequences_hold_the_ids(spark):
+    texts = [(i, " ".join(f"word{j}" for j in range(i * 7))) for i in range(12)]
+    cut = packing.written(packing.pieces(spark.createDataFrame(texts, "doc_id long, text string"), 64), "test-pieces")
+    placed = packing.place(cut, 64)
+    of = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(placed, cut).collect()}
+    enc = pretokens.encoder(pretokens.tokenizer_path("byte_bpe_50k.json"))
+    for r in placed.collect():
+        ids = np.frombuffer(of[r["sequence_id"]], enc.dtype)[r["offset"]: r["offset"] + r["length"]]
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_token_counts_of_the_whole_table(spark, docs):
+    library = token_counts.counter(pretokens.tokenizer_path("piece_bpe_32k.model")).library
+    got = Q.QUERIES["op8_token_counts"](spark, SF).toPandas().sort_values("doc_id")
+    d = docs.sort_values("doc_id")
+    counts = [len(library.encode(t or "")) for t in d.text]
+    assert got.n_tokens.tolist() == counts and got.over_limit.tolist() == [n > 4096 for n in counts]
+    assert got.n_bytes.tolist() == [len((t or "").encode()) for t in d.text]
+
+
+def pairs_of(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return set(zip(["<start>", *words], words))
+
+
+def plain_evidence(rows, texts):
+    """Mean log-likelihood ratios by dictionaries: ``rows`` (text, class) teach, all ``texts`` give the shared backoff."""
+    words, pairs, follow = [Counter(), Counter()], [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
+    for text, c in rows:
+        found = pairs_of(text)
+        words[c].update({w for p in found for w in p})
+        pairs[c].update(found)
+        for v, w in found:
+            follow[c][v].add(w)
+    size = [sum(n for w, n in words[c].items() if w != "<start>") for c in (0, 1)]
+    discounted = 0.75 * sum(len(words[c].keys() - {"<start>"}) for c in (0, 1)) / sum(size)
+
+    def differs(counts, share):
+        out = set()
+        for x in counts[0].keys() | counts[1].keys():
+            expected = (counts[0][x] + counts[1][x]) * share
+            if abs(counts[1][x] - expected) > 3.5 * math.sqrt(max(expected, 1.0) * (1 - share)):
+                out.add(x)
+        return out
+    telling = differs(pairs, sum(pairs[1].values()) / (sum(pairs[0].values()) + sum(pairs[1].values())))
+    own = differs(words, size[1] / sum(size))
+    known = own | {w for p in telling for w in p} | {"<start>"}
+    every = set().union(*(pairs_of(t) for t in texts))
+    contexts = Counter(w for _, w in every)
+
+    def probability(c, v, w):
+        n, all_ = (words[c][w], size[c]) if w in own else (words[0][w] + words[1][w], sum(size))
+        alone = max(n - 0.75, 0) / all_ + discounted * contexts[w] / len(every)
+        if (v, w) not in telling:
+            return alone
+        times = max(words[c][v], 1)
+        left = min(max(0.75 * len(follow[c][v]) / times, 0.05), 1.0)
+        return max(pairs[c][v, w] - 0.75, 0) / times + left * alone
+    out = []
+    for text in texts:
+        found = pairs_of(text)
+        ratio = sum(math.log(probability(1, v, w)) - math.log(probability(0, v, w)) for v, w in found if w in known)
+        out.append(ratio / max(1, len(found)))
+    return out, telling, own
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    draw = random.Random(5)
+    usual, rude = [f"n{i}" for i in range(40)], ["awful", "vile", "scum", "shut"]
+    rows = []
+    for i in range(600):
+        toxic = int(i % 3 == 0)
+        words = draw.choices(usual, k=draw.randint(0, 25))
+        if toxic:
+            words[draw.randint(0, len(words)):0] = draw.choice([["you", "awful", "scum"], ["vile"], ["shut", "up", "scum"], ["you", draw.choice(rude)]])
+        elif i % 2:
+            words[draw.randint(0, len(words)):0] = draw.choice([["thank", "you"], ["you", "up"]])
+        rows.append((i, " ".join(words), toxic))
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, labels)
+
+    used = {r["doc_id"]: r["curve"] for r in labels.where(toxicity.fold() != 0)
+            .selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fit'), 4) = 0 AS curve").collect()}
+    once = {}  # each text once: toxic if one label says so, on the curve only if all its rows are
+    for i, t, c in rows:
+        if i in used:
+            was = once.get(t, (0, True))
+            once[t] = max(c, was[0]), used[i] and was[1]
+    texts = [t for _, t, _ in rows]
+    want, telling, own = plain_evidence([(t, c) for t, (c, curve) in once.items() if not curve], texts)
+    mean, size = toxicity.evidence(texts, model)
+    assert len(telling) > 3 and len(own) > 3 and size.tolist() == [len(pairs_of(t)) for t in texts]
+    assert np.allclose(mean, want, atol=1e-5)
+
+    # The curve is the ridge optimum over the texts that no count has seen.
+    held = [(t, c) for t, (c, curve) in once.items() if curve and pairs_of(t)]
+    m, n = toxicity.evidence([t for t, _ in held], model)
+    x = np.stack([np.ones(len(m)), 10 * m, m * np.sqrt(n)], axis=1)
+    p = 1 / (1 + np.exp(-x @ model["curve"]))
+    assert np.abs(x.T @ (p - np.array([c for _, c in held])) + 0.01 * model["curve"]).max() < 1e-4
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    z = model["curve"][0] + 10 * model["curve"][1] * np.array(want) + model["curve"][2] * np.array(want) * np.sqrt(np.maximum(size, 1))
+    plain = np.where(size > 0, 1 / (1 + np.exp(-z)), model["prior"])
+    assert np.allclose([got[i] for i, _, _ in rows], plain, atol=1e-3)
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (1, " ", "a"), (1, " ", "a"), (2, "one two", "a"), (2, "one two", "b"), (3, "one two", "c"), (4, " ", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(0, ""), (0, ""), (1, " "), (1, " "), (2, "one two"), (4, " ")]
+
+
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "The cat sat on the mat."), (5, "one"), (6, "one"), (6, "one"), (7, LONG), (8, LONG + " x"),
+       (9, "<|endoftext|> </s> it's 漢字 ␛␛[INST]"), (10, "A b\n\nA b\nA B c d e A B c")]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_of_odd_and_empty_tables(spark, docs, tmp_path, kind):
+    """The odd rows beside the whole small table, with further columns of clashing names; and no rows at all."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None if i is None else i + 10**6, t, "en") for i, t in ODD], "doc_id long, text string, lang string")
+    both = frame.unionByName(odd, allowMissingColumns=True).selectExpr("*", "'x' AS row_key", "1 AS worded", "2 AS c0")
+    (both if kind == "odd" else both.where("false")).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        (table if kind == "odd" else table.where("false")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows, before = read, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, rows, str(tmp_path)), f"test-{name}")
+        assert out.columns == read.columns and out.exceptAll(rows).isEmpty()  # rows whole, none of them made or changed
+        rows = out
+    kept = {(r["doc_id"], r["text"]) for r in rows.select("doc_id", "text").collect()}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(packed.doc_id.dropna()) == {i for i, _ in kept if i is not None}
+    if kind == "empty":
+        assert not kept and len(packed) == 0
+    else:
+        # Of the two long texts, nearly alike, at most one is left, whole; blank ones have no language.
+        long_ = [(i, t) for i, t in kept if i in (10**6 + 7, 10**6 + 8)]
+        assert len(long_) <= 1 and all(t in (LONG, LONG + " x") for _, t in long_)
+        assert not any(t is None or not t.strip() for _, t in kept) and len(kept) > 0.8 * len(docs)

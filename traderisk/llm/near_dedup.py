@@ -38,6 +38,7 @@ BANDS, ROWS = 40, 5
 PAIRS_PER_SALT = 200  # members confirmed against one copy of a leader's set
 FEW_CONFIRMED = 0.02  # stars go on while they confirm this share of their pairs; then pairs are tried one by one
 FREQUENCY_BITS = 21
+A_WORD = r"[^\x20\x09-\x0D]"  # whatever is no white space
 
 
 def hash_family(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +268,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, one of each group of near duplicates; documents without words all stay."""
-    kept = near_duplicates(docs, k, percent).where("keeper").select("row_key", F.lit(1).alias("one"))
+    """The documents, one of each group of near duplicates; documents without words all stay, repeated ones too."""
+    kept = near_duplicates(docs, k, percent).where("keeper and n_shingles > 0").select("row_key").distinct()
     cols = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], row_key(docs).alias("row_key"))
-    once = keyed.join(kept.groupBy("row_key").agg(F.count("*").alias("copies")), "row_key")
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], row_key(docs).alias("row_key"),
+                        F.coalesce(docs["text"].rlike(A_WORD), F.lit(False)).alias("worded"))
     # A keeper's exact twin rows share its key: one of them stays.
-    return once.dropDuplicates(["row_key"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    worded = keyed.where("worded").join(kept, "row_key").dropDuplicates(["row_key"])
+    return worded.unionByName(keyed.where("not worded")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
