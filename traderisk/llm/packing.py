@@ -108,8 +108,16 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarr
     return configuration(lengths, knapsack_table(lengths, prices, capacity)[1], capacity)
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Fractional configurations that cover the whole demand, by multiplicative weights with knapsack pricing."""
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, float]]:
+    """Fractional configurations (counts by length) that cover the whole demand, by multiplicative weights with knapsack pricing."""
+    for used, times, share in _solved(lengths, demand, capacity):
+        counts = np.zeros(len(lengths), np.int64)
+        counts[used] = times
+        yield counts, share
+
+
+def _solved(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """``solve`` with each configuration as the lengths (their indices) in it and how often: a few numbers each."""
     served, prices, found = np.zeros(len(lengths)), lengths / capacity, {}
     while served.min() < 1.0:
         best, choice = knapsack_table(lengths, prices, capacity)
@@ -123,12 +131,12 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[
             if prices[used] @ counts[used] < enough:  # prices have fallen since the table
                 continue
             times = float((demand[used] / counts[used]).min()) * STEP
-            key = counts.astype(np.int16).tobytes()
+            key = used.astype(np.int32).tobytes(), counts[used].astype(np.int32).tobytes()
             found[key] = found.get(key, 0.0) + times
             served[used] += counts[used] * times / demand[used]
             served[used] = np.where(served[used] > 1.0 - 1e-9, np.maximum(served[used], 1.0), served[used])
             prices[used] = np.where(served[used] < 1.0, lengths[used] / capacity * np.exp(-PRICE_FALL * served[used]), 0.0)
-    return [(np.frombuffer(key, np.int16).astype(np.int64), share) for key, share in found.items()]
+    return [(np.frombuffer(used, np.int32), np.frombuffer(counts, np.int32), share) for (used, counts), share in found.items()]
 
 
 def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -161,35 +169,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     left = np.array([histogram[n] for n in lengths], np.int64)
     rows, nth, base, lp_share = [], np.zeros(len(lengths), np.int64), 0, 0.0
 
-    def use(counts: np.ndarray, times: int) -> None:
+    def use(used: np.ndarray, counts: np.ndarray, times: int) -> None:
         nonlocal base
         place = 0
-        for i in np.flatnonzero(counts)[::-1]:
-            rows.append((int(lengths[i]), int(nth[i]), int(counts[i]), base, place))
-            nth[i] += counts[i] * times
-            place += int(counts[i] * lengths[i])
+        for i, n in zip(used[::-1].tolist(), counts[::-1].tolist()):
+            rows.append((int(lengths[i]), int(nth[i]), n, base, place))
+            nth[i] += n * times
+            place += n * int(lengths[i])
         base += times
 
     if len(lengths):
         total = int(left.sum())
 
-        def take(counts: np.ndarray, most: int) -> None:
-            used = np.flatnonzero(counts)
-            times = min(most, int((left[used] // counts[used]).min()))
+        def take(used: np.ndarray, counts: np.ndarray, most: int) -> None:
+            times = min(most, int((left[used] // counts).min()))
             if times:
-                use(counts, times)
-                left[used] -= counts[used] * times
-        found = sorted(solve(lengths, left.astype(float), capacity), key=lambda x: -x[1])
-        full = [(counts, share) for counts, share in found if lengths @ counts >= (1 - EMPTY) * capacity]
-        for counts, share in full:
-            take(counts, int(share))
-        for counts, _ in sorted(full, key=lambda x: (-int(lengths @ x[0]), -(x[1] % 1))):
-            take(counts, 1)
+                use(used, counts, times)
+                left[used] -= counts.astype(np.int64) * times
+        found = sorted(_solved(lengths, left.astype(float), capacity), key=lambda x: -x[2])
+        size = [int(lengths[used] @ counts) for used, counts, _ in found]
+        full = [(n, *x) for n, x in zip(size, found) if n >= (1 - EMPTY) * capacity]
+        for _, used, counts, share in full:
+            take(used, counts, int(share))
+        for _, used, counts, _ in sorted(full, key=lambda x: (-x[0], -(x[3] % 1))):
+            take(used, counts, 1)
         lp_share = 1 - int(left.sum()) / total
         LOG.info("%d lengths, %d pieces: %.1f %% placed by %d configurations of the linear program (value %.1f, bound %.1f)", len(lengths),
-                 total, 100 * lp_share, len(found), sum(x for _, x in found), sum(n * m for n, m in histogram.items()) / capacity)
+                 total, 100 * lp_share, len(found), sum(x[2] for x in found), sum(n * m for n, m in histogram.items()) / capacity)
         for counts, times in fill(lengths, left, capacity):
-            use(counts, times)
+            used = np.flatnonzero(counts)
+            use(used, counts[used], times)
     table = pd.DataFrame(rows, columns=["length", "from_nth", "per", "base", "place"], dtype="int64")
     table.attrs["lp_share"] = lp_share
     return table
