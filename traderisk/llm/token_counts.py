@@ -6,7 +6,8 @@ from the vocabulary, and which vocabulary strings the library encodes alone as o
 Pre-tokens among these count as one directly; the others are merged by the library once per
 worker and remembered.  If the proof fails for a model, every text goes to the library whole.
 
-Null and empty texts have no tokens; any other columns pass through untouched.
+Rows: null and empty texts have no tokens; repeated rows and ids are counted each; texts of any
+length are counted whole; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ payload order, then the seeds uint32, fingerprints uint32 and record numbers uin
 
 Unusual rows: a null text is the empty text and holds the end id alone; rows with a null doc_id
 come first and are read in order only (no key); a repeated doc_id keeps all its records side
-by side, the index finding the first.  An empty table writes no shard.
+by side, the index finding the first.  Texts of any length are written whole; columns beside
+doc_id and text are not looked at.  An empty table writes no shard.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ of that sample that differ, alone or in a pair, and what the corpus says of them
 the same probability in both classes, so of them only the number of pairs is needed.  Pair counts are hashed to 2**PAIR_BITS cells.
 
 Rows: empty or null texts score the sample's toxic share; without labelled rows of both classes
-all score that share (0 without any).  Null doc_ids and null labels are never learned from.
+all score that share (0 without any).  Null doc_ids and null labels are never learned from.  A
+repeated row or doc_id is scored each time and teaches each of its texts once.  Texts of any length
+are read whole; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
