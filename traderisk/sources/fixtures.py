@@ -1,9 +1,11 @@
 """Deterministic mapping of the driver's star-schema tables onto the domain
 tables (shipments, country_risk, deals).  See FIXTURES.md §2.
 
-Plans are declarative: the big joins (lineitem ⋈ orders ⋈ customer, ⋈ part)
+Plans are declarative: the big joins (lineitem ⋈ part, ⋈ (orders ⋈ customer))
 are left to Catalyst/AQE (sort-merge or a runtime broadcast when a side turns
 out small); only ``nation`` — bounded by the number of countries — is hinted.
+Rows travel as the few source columns they need: customers meet the orders,
+which are fewer than the lines, and names and derived texts come after the last shuffle.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ def build_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_type")
 
-    buyers = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-              .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).drop("o_custkey")
+    rows = (li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
+              .join(placed, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
+    # A buyer's rows meet in few files, so that aggregates by buyer shrink before their shuffle; AQE
+    # cuts a partition that a large buyer makes too big.
+    rows = rows.hint("rebalance", F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
 
     digit = _priority_digit()
     rt = (F.when(F.col("c_custkey") % 10 < 2, 2).when(F.col("c_custkey") % 10 < 5, 1).otherwise(0))
@@ -76,14 +80,17 @@ def build_country_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_discount")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    sup = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey)
-    rows = li.join(sup, li.l_suppkey == sup.s_suppkey)
+    # Two numbers a supplier: small enough for the planner's broadcast far longer than with names.
+    rows = li.join(supplier, li.l_suppkey == supplier.s_suppkey)
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month")
-    agg = rows.groupBy("n_name", "n_nationkey", month).agg(
+    by_key = rows.groupBy("s_nationkey", month).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum((F.col("l_returnflag") != "R").cast("int")).alias("_not_returned"),
         F.sum(F.round(F.col("l_discount") * 100).cast("int")).alias("_disc_pts"),
     )
+    agg = (by_key.join(F.broadcast(nation), by_key.s_nationkey == nation.n_nationkey)
+           .groupBy("n_name", "n_nationkey", "month")
+           .agg(*[F.sum(c).alias(c) for c in ("_n", "_not_returned", "_disc_pts")]))
     key = F.col("n_nationkey")
 
     def bounded(num: Column) -> Column:
@@ -105,8 +112,8 @@ def build_deals(spark: SparkSession, sf_dir: str, orders: DataFrame | None = Non
     orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    buyers = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-    rows = orders.join(buyers, orders.o_custkey == buyers.c_custkey)
+    rows = (orders.join(customer, orders.o_custkey == customer.c_custkey)
+            .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey))
     k = F.col("o_orderkey")
     return rows.select(
         k.alias("deal_id"),

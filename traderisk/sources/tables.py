@@ -23,14 +23,14 @@ _BUILDERS = {
     "deals": fixtures.build_deals,
 }
 
-# Each table is hash-partitioned on its unique key (balanced files, no
-# sampling pass over the upstream joins, no hot file whatever the buyer mix)
-# and sorted inside each file on its access key, so row groups carry narrow
-# min/max statistics and equality filters such as a buyer look-up skip them.
+# Each table is written as its builder's last join deals it (shipments: rebalanced
+# by buyer), without a shuffle of the finished rows, and sorted inside each file on
+# its access key, so row groups carry narrow min/max statistics and equality
+# filters such as a buyer look-up skip them.
 _LAYOUT = {
-    "shipments": (["shipment_id"], ["buyer_id", "shipment_date"]),
-    "country_risk": (["country", "month"], ["country", "month"]),
-    "deals": (["deal_id"], ["deal_ts"]),
+    "shipments": ["buyer_id", "shipment_date"],
+    "country_risk": ["country", "month"],
+    "deals": ["deal_ts"],
 }
 
 _SCHEMAS = {"shipments": schemas.SHIPMENTS, "country_risk": schemas.COUNTRY_RISK, "deals": schemas.DEALS}
@@ -60,8 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (_app_id(spark), sf_dir.rstrip("/"), name, _state(spark, sf_dir))
     path = _MEMO.get(key)
     if path is None:
-        keys, order = _LAYOUT[name]
-        df = _BUILDERS[name](spark, sf_dir).repartition(*keys).sortWithinPartitions(*order)
+        df = _BUILDERS[name](spark, sf_dir).sortWithinPartitions(*_LAYOUT[name])
         path = S.unique_path(spark, f"table-{name}")
         load_table(df, path)
         _MEMO[key] = path
