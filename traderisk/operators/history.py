@@ -13,58 +13,43 @@ from traderisk.operators.clean import CRITICAL_COLUMNS
 from traderisk.operators.features import default_risk_score
 
 
-def _most_frequent(tag: str) -> Column:
-    """The value with the highest count among the rows of ``tag``, the smallest one of equals; NULLs never count."""
-    mine = (F.col("_tag") == tag) & F.col("_value").isNotNull()
-    return F.min_by("_value", F.when(mine, F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("value"))))
+def _most_frequent(shipments: DataFrame, column: str, name: str) -> DataFrame:
+    """(buyer_id, ``name``): each buyer's value with the most rows, the smallest one of equals; NULLs never count."""
+    counted = shipments.where(F.col("buyer_id").isNotNull() & F.col(column).isNotNull()) \
+        .groupBy("buyer_id", column).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("buyer_id").agg(
+        F.min(F.struct((-F.col("_n")).alias("n"), F.col(column).alias("value"))).alias("_top")) \
+        .select("buyer_id", F.col("_top.value").alias(name))
 
 
 def buyer_history(shipments: DataFrame) -> DataFrame:
     """One row per buyer over the raw shipments.
 
-    Two-phase modes, in one scan: rows are counted by (buyer, country, category)
-    together with the partial sums, each of these counts is regrouped by (buyer,
-    value) for country and for category, and the buyer keeps the value with the
-    highest count.  Every phase is an ordinary partial aggregate: no buffer of a
-    buyer's values anywhere.  Ties go to the smallest value, NULLs are ignored, an
-    all-NULL buyer gives NULL.  The value trend compares the buyer's mean invoice
-    with the row-level mean of all shipments, re-derived from the per-buyer sums
-    (including the NULL-buyer group).
+    The sums are one aggregate by buyer.  Two-phase modes beside it: rows are
+    counted by (buyer, value) for country and for category, and the buyer keeps the
+    value with the highest count; only the count travels with a value.  Every
+    phase is an ordinary partial aggregate: no buffer of a buyer's values
+    anywhere.  Ties go to the smallest value, NULLs are ignored, an all-NULL
+    buyer gives NULL.  The value trend compares the buyer's mean invoice with the
+    row-level mean of all shipments, those without a buyer included.
     """
     inv = F.col("invoice_value_usd")
-    sums = {"orders": F.count("shipment_id"), "inv": F.sum(inv), "n_inv": F.count(inv),
-            "delay": F.sum("payment_delay_days"), "n_delay": F.count("payment_delay_days"),
-            "disp": F.sum("was_disputed"), "n_disp": F.count("was_disputed"),
-            "paid": F.sum("was_paid_in_full"), "n_paid": F.count("was_paid_in_full")}
-    counted = shipments.groupBy("buyer_id", "buyer_country", "product_category").agg(
-        F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in sums.items()],
-        F.min("shipment_date").alias("_first"), F.max("shipment_date").alias("_last"))
-    # The sums go with the country rows only, so that they are added once.
-    stats = [f"_{k}" for k in sums] + ["_first", "_last"]
-    types = {f.name: f.dataType for f in counted.schema.fields}
-    by_country = F.struct(F.lit("country").alias("_tag"), F.col("buyer_country").alias("_value"), "_n", *stats)
-    by_category = F.struct(F.lit("category").alias("_tag"), F.col("product_category").alias("_value"), "_n",
-                           *[F.lit(None).cast(types[c]).alias(c) for c in stats])
-    tagged = counted.select("buyer_id", F.explode(F.array(by_country, by_category)).alias("x")).select("buyer_id", "x.*")
-    values = tagged.groupBy("buyer_id", "_tag", "_value").agg(
-        F.sum("_n").alias("_n"), *[F.sum(f"_{k}").alias(f"_{k}") for k in sums],
-        F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    per_buyer = values.groupBy("buyer_id").agg(
-        F.sum("_orders").alias("total_orders"),
-        F.sum("_inv").alias("_s"), F.sum("_n_inv").alias("_c"),
-        *[safe_rate(F.sum(f"_{k}"), F.sum(f"_n_{k}")).alias(name) for k, name in
-          (("delay", "avg_payment_delay_days"), ("disp", "dispute_rate"), ("paid", "paid_in_full_rate"))],
-        F.min("_first").alias("first_order_date"), F.max("_last").alias("last_order_date"),
-        _most_frequent("country").alias("primary_country"), _most_frequent("category").alias("primary_category"))
-    overall = per_buyer.agg(safe_rate(F.sum("_s"), F.sum("_c")).alias("_overall"))
+    per_buyer = shipments.groupBy("buyer_id").agg(
+        F.count("shipment_id").alias("total_orders"), F.sum(inv).alias("_s"), F.count(inv).alias("_c"),
+        *[safe_rate(F.sum(c), F.count(c)).alias(name) for c, name in
+          (("payment_delay_days", "avg_payment_delay_days"), ("was_disputed", "dispute_rate"), ("was_paid_in_full", "paid_in_full_rate"))],
+        F.min("shipment_date").alias("first_order_date"), F.max("shipment_date").alias("last_order_date"))
+    overall = shipments.agg(safe_rate(F.sum(inv), F.count(inv)).alias("_overall"))  # 1 row
     avg_inv, ov = F.col("avg_invoice_value"), F.col("_overall")
     trend = (F.when(avg_inv < F.lit(K.TREND_DECLINING_BELOW) * ov, F.lit("declining"))
              .when(avg_inv > F.lit(K.TREND_GROWING_ABOVE) * ov, F.lit("growing"))
              .otherwise(F.lit("stable")))
-    named = per_buyer.where(F.col("buyer_id").isNotNull()).select(
-        "buyer_id", "total_orders", F.col("_s").cast("double").alias("total_value_usd"), "avg_payment_delay_days",
-        "dispute_rate", "paid_in_full_rate", safe_rate("_s", "_c").alias("avg_invoice_value"),
-        "first_order_date", "last_order_date", "primary_country", "primary_category")
+    named = (per_buyer.where(F.col("buyer_id").isNotNull())
+             .join(_most_frequent(shipments, "buyer_country", "primary_country"), "buyer_id", "left")
+             .join(_most_frequent(shipments, "product_category", "primary_category"), "buyer_id", "left")
+             .select("buyer_id", "total_orders", F.col("_s").cast("double").alias("total_value_usd"), "avg_payment_delay_days",
+                     "dispute_rate", "paid_in_full_rate", safe_rate("_s", "_c").alias("avg_invoice_value"),
+                     "first_order_date", "last_order_date", "primary_country", "primary_category"))
     return named.crossJoin(F.broadcast(overall)).withColumn("value_trend", trend).drop("_overall")  # 1-row side
 
 
