@@ -12,7 +12,8 @@ from functools import cache
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 20  # code points held as arrays at once
+BLOCK_BITS = 18
+BLOCK_CHARS = 1 << BLOCK_BITS  # code points held as arrays at once: some 40 bytes each
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -99,7 +100,7 @@ def word_hashes(texts: list[str], words: str = "space", fold: str = "ascii") ->
         starts_here[cut] |= inside[cut]
         ends_here[cut - 1] |= inside[cut - 1]
         s, e = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
-        power, inverse = _powers(max(20, int(len(codes)).bit_length()))
+        power, inverse = _powers(max(BLOCK_BITS, int(len(codes)).bit_length()))
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
         found.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
