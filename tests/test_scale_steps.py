@@ -98,3 +98,24 @@ def test_history_modes_carry_counts_only(spark, make_shipments):
     out = {r.buyer_id: r for r in H.buyer_history(make_shipments(rows)).collect()}
     assert set(out) == {"b", "empty"} and out["b"].primary_category == "A" and out["b"].primary_country == "INDIA"
     assert out["empty"].primary_category is None and out["b"].value_trend == "declining"
+
+
+def test_first_shipments_sort_rows_of_first_days_only(spark, make_shipments):
+    rows = [ship(f"s{b:02d}-{i * 37 % 60:02d}", buyer_id=f"b{b:02d}", country=f"C{i % 5}", category=f"P{i % 7}",
+                 date=None if i % 11 == 0 else dt.date(2024, 1, 1) + dt.timedelta((i * 13 + b) % 29)) for b in range(40) for i in range(60)]
+    rows += [ship("u2", buyer_id="undated", country="B", category="B", date=None), ship("u1", buyer_id="undated", country="A", category=None, date=None),
+             ship("last", buyer_id="last", date=None), ship("day", buyer_id="last", country="Z", date=dt.date(9999, 12, 31)),
+             ship("n2", buyer_id=None, country="X"), ship("n1", buyer_id=None, country="Y")]
+    df = make_shipments(rows)
+
+    def key(r):
+        return r[6] or dt.date.max, r[6] is None
+    first = {b: min((r for r in rows if r[2] == b), key=lambda r: (*key(r), r[0])) for b in {r[2] for r in rows}}
+    for cells in (64, 4096, H.FIRST_DAY_CELLS):
+        got = {r.buyer_id: (r.first_country, r.first_category) for r in H.buyer_first_shipment(df, cells).collect()}
+        assert got == {b: (r[3], r[5]) for b, r in first.items()}
+    # Few rows but those of first days reach the sort of min_by.
+    days = sum(key(r) == key(first[r[2]]) for r in rows)
+    assert days <= H._first_day_rows(df, H.FIRST_DAY_CELLS).count() <= days + 5 < len(rows) / 10
+    plan = _plan(H.buyer_first_shipment(df))
+    assert plan.index("partial_min_by") < plan.index("BroadcastHashJoin")

@@ -12,6 +12,9 @@ from traderisk.functions.stats import exact_mean_scaled
 from traderisk.operators.clean import CRITICAL_COLUMNS
 from traderisk.operators.features import default_risk_score
 
+# Bits that tell the rows of buyers' first days from others: at most 2**19 words are broadcast.
+FIRST_DAY_CELLS = 1 << 25
+
 
 def _most_frequent(shipments: DataFrame, column: str, name: str) -> DataFrame:
     """(buyer_id, ``name``): each buyer's value with the most rows, the smallest one of equals; NULLs never count."""
@@ -66,15 +69,34 @@ def buyer_profile(clean: DataFrame) -> DataFrame:
     )
 
 
-def buyer_first_shipment(clean: DataFrame) -> DataFrame:
+def _first_day_rows(clean: DataFrame, cells: int) -> DataFrame:
+    """The rows of their buyer's first day (``_day``: null dates last), and those few of other days that share a cell with one."""
+    day = F.unix_date(F.coalesce(F.col("shipment_date"), F.lit("9999-12-31").cast("date"))).cast("long")
+    rows = clean.withColumn("_day", day * 2 + F.col("shipment_date").isNull().cast("long"))
+    first = rows.groupBy("buyer_id").agg(F.min("_day").alias("_day"))
+
+    def celled(df: DataFrame) -> DataFrame:
+        cell = F.xxhash64("buyer_id", "_day").bitwiseAND(F.lit(cells - 1))
+        return df.withColumn("_word", F.shiftright(cell, 6)) \
+            .withColumn("_bit", F.expr("shiftleft(1L, cast(xxhash64(buyer_id, _day) & 63 as int))"))
+    words = celled(first).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # At most cells / 64 rows, whatever the number of buyers.
+    return celled(rows).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+
+
+def buyer_first_shipment(clean: DataFrame, cells: int = FIRST_DAY_CELLS) -> DataFrame:
     """Country and category of each buyer's earliest shipment (null dates
-    last, ties by shipment_id) by ``min_by``."""
-    order_key = F.struct(F.coalesce(F.col("shipment_date"), F.lit("9999-12-31").cast("date")),
-                         F.col("shipment_date").isNull(), F.col("shipment_id"))
-    first = F.min_by(F.struct("buyer_country", "product_category"), order_key)
-    return clean.groupBy("buyer_id").agg(first.alias("_first")).select(
-        "buyer_id", F.col("_first.buyer_country").alias("first_country"),
-        F.col("_first.product_category").alias("first_category"))
+    last, ties by shipment_id) by ``min_by``.
+
+    An aggregate that keeps texts sorts its whole input first, and spills it.  So each
+    buyer's first day, a number, is found by a hash aggregate, and a broadcast bit per
+    hashed (buyer, day) keeps nearly all other rows from ``min_by``.  Rows that share a
+    cell only pass in vain: the result does not depend on ``cells`` (a power of two from 64).
+    """
+    # One aggregate a column: a column that nobody reads is not carried along.
+    key = F.struct("_day", "shipment_id")
+    return _first_day_rows(clean, cells).groupBy("buyer_id").agg(
+        F.min_by("buyer_country", key).alias("first_country"), F.min_by("product_category", key).alias("first_category"))
 
 
 def country_profile(country_risk: DataFrame, score_decimals: int = 4) -> DataFrame:
